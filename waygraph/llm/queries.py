@@ -24,3 +24,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waygraph.llm.ngram_join import similarity_groups
 
     return similarity_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygraph.llm.token_count import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", limit=4096)
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygraph.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
