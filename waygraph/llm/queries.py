@@ -38,3 +38,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waygraph.llm.language_id import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygraph.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
