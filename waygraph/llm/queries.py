@@ -45,3 +45,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waygraph.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygraph.llm.pii import personal_data, span_digest
+
+    return span_digest(personal_data(table(spark, sf_dir, "documents")))
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygraph.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
