@@ -59,3 +59,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waygraph.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygraph.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("uid")
