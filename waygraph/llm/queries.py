@@ -80,3 +80,13 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waygraph.llm.embedding_dedup import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from waygraph.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"), percent=80)
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -17,8 +17,9 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waygraph.llm.language_id import held_out
 from waygraph.llm.words import TABLE, U, chunks, mix, powers, prefix_hash
@@ -279,7 +280,15 @@ def _score(batches: Iterator[pa.RecordBatch], w: dict) -> Iterator[pa.RecordBatc
                 logit = window_logits(number, size, project(words, w)[1], w)
                 first = np.flatnonzero(np.diff(doc, prepend=-1))
                 score[lo + doc[first]] = _sigmoid(np.maximum.reduceat(logit, first).astype(float))
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score)], ["id", "held_out", "score"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score)], ["carried", "held_out", "score"])
+
+
+def scored(docs: DataFrame, labels: DataFrame, carry: Column, id_col: str, text_col: str, per_label: int) -> DataFrame:
+    """`(carried, held_out, score)` of each row, in one pass over the texts."""
+    w = fit(docs, labels, id_col, text_col, per_label)
+    rows = docs.select(carry.alias("carried"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(partial(_score, w=w), schema)
 
 
 def toxicity(
@@ -299,8 +308,11 @@ def toxicity(
     0. A null id is not held out. Repeated rows are each scored; other columns
     are ignored. All overlapping windows of a text are scored, however long.
     """
-    w = fit(docs, labels, id_col, text_col, per_label)
-    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(partial(_score, w=w), f"id {kind}, held_out boolean, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = scored(docs, labels, F.col(id_col), id_col, text_col, per_label)
+    return out.select(F.col("carried").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", per_label: int = TRAIN_ROWS) -> DataFrame:
+    """The rows, with all their columns, that score below the threshold."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored(docs, labels, row, id_col, text_col, per_label).where(F.col("score") < threshold).select("carried.*")
