@@ -7,6 +7,7 @@ lost between two rounds and the next round still finds its input.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,13 +35,20 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the table behind a DataFrame made by `materialise`."""
+def release(df: DataFrame, shuffles: bool = False) -> None:
+    """Delete the table behind a DataFrame made by `materialise`.
+
+    shuffles: also let Spark delete the shuffle files of finished jobs now; it
+    does so once the driver's objects for them are collected, which may be much later.
+    """
     path = getattr(df, "waygraph_path", None)
     if path:
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    if shuffles:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
 
 
 def _fingerprint(df: DataFrame) -> tuple:
