@@ -26,29 +26,47 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def strong_components(graph: Graph) -> DataFrame:
     """Strongly connected components: (id, component), the smallest id of each.
 
-    Forward colouring: every node takes the least id that reaches it; what its
-    colour's root can be reached from within the colour is one component. Done
-    nodes leave, and nodes without an arc in or out are components of their own.
+    Nodes joined by arcs both ways are contracted first. Then every node takes
+    the least id that it reaches; arcs between different labels cross no
+    component, and what a label's root reaches within its cell is one. Rounds
+    take turns in direction, so that neither long way makes all of them long.
     """
-    edges = materialise(graph.edges.select("src", "dst").where("src <> dst").distinct(), "scc")
-    left = materialise(graph.nodes.select("id"), "left")
-    done = None
+    arcs = materialise(graph.edges.select("src", "dst").where("src <> dst").distinct(), "arcs")
+    mutual = arcs.join(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
+    merged = materialise(connected_components(mutual.toDF("u", "v")), "merged")
+    own = graph.nodes.select("id").join(merged, "id", "left").select("id", F.coalesce("component", "id").alias("of"))
+    own = materialise(own, "own")
+    edges = (
+        arcs.join(own.select(F.col("id").alias("src"), F.col("of").alias("a")), "src")
+        .join(own.select(F.col("id").alias("dst"), F.col("of").alias("b")), "dst")
+        .where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    )
+    edges = materialise(edges, "scc")
+    left = materialise(own.select(F.col("of").alias("id")).distinct(), "left")
+    done, turned = None, True
     while not left.isEmpty():
-        colour = materialise(_spread(edges, left.withColumn("label", F.col("id"))), "colour")
+        way = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else edges
+        label = materialise(_spread(way, left.withColumn("label", F.col("id"))), "label")
         inside = (
-            edges.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src")
-            .join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
+            way.join(label.select(F.col("id").alias("src"), F.col("label").alias("a")), "src")
+            .join(label.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
             .where("a = b")
         )
-        back = materialise(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
-        roots = colour.where("id = label").select("id", "label")
-        found = materialise(_spread(back, roots).select("id", F.col("label").alias("component")), "found")
+        inside = materialise(inside.select("src", "dst"), "inside")
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        found = materialise(_spread(back, label.where("id = label").select("id", "label")).select("id", F.col("label").alias("component")), "found")
         done = found if done is None else done.unionAll(found)
         left = materialise(left.join(found, "id", "left_anti"), "left")
+        rest = back if turned else inside
         edges = materialise(
-            edges.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti"), "scc"
+            rest.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc"
         )
-    return done if done is not None else graph.nodes.select("id", F.col("id").alias("component"))
+        turned = not turned
+    if done is None:
+        return graph.nodes.select("id", F.col("id").alias("component"))
+    labelled = own.join(done.withColumnRenamed("id", "of"), "of")
+    least = labelled.groupBy("component").agg(F.min("id").alias("least"))
+    return labelled.join(least, "component").select("id", F.col("least").alias("component"))
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def congestion_tiers(edges: DataFrame, seed: int = SEED) -> DataFrame:
     sums = below.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     many = edges.agg(F.count("*").alias("m"))
     rank = F.row_number().over(Window.partitionBy("w").orderBy("eid")) - 1 + F.col("before")
-    jitter = F.expr(f"((eid * 1103515245 + {seed}) div 65536) % 3 - 1")
+    jitter = F.expr(f"(((eid % 2147483647) * 1103515245 + {seed}) div 65536) % 3 - 1")
     ranked = edges.join(sums.select("w", "before"), "w").crossJoin(F.broadcast(many)).withColumn("rank", rank)
     tier = F.greatest(F.lit(0), F.least(F.lit(TIERS - 1), F.floor(F.col("rank") * TIERS / F.col("m")) + jitter))
     return ranked.withColumn("tier", tier.cast("int")).drop("before", "m", "rank")
