@@ -20,12 +20,21 @@ LOWER_TABLE = TABLE.copy()
 LOWER_TABLE[65:91] = TABLE[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_pow = {"n": 0}
+
+
+class _Cache(dict):
+    """What a process has computed; it isn't sent to others."""
+
+    def __reduce__(self):
+        return dict, ()
+
+
+_pow = _Cache()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and their inverses modulo 2**64, for n positions at least."""
-    if _pow["n"] < n:
+    if _pow.get("n", 0) < n:
         size = max(n, 1 << 16)
         for key, b in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             x = np.full(size, b, U)
