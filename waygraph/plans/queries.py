@@ -442,3 +442,97 @@ def transit_combine(spark, sf):
     near = spatial.within(s.selectExpr("id + 1000000000 AS qid", "lon AS qx", "lat AS qy"), road.nodes, 3000.0, "geographic").select("qid").distinct()
     walks = both.edges.where("src < 1000000000 AND dst >= 1000000000").select(F.col("dst").alias("q"), F.col("src").alias("id"), F.round("w", 4).alias("board"))
     return walks.join(near, walks["q"] == near["qid"], "left_semi")
+
+
+# ---- indices, extracts, traces and races
+
+from waygraph.operators import etl, harness, index, trace  # noqa: E402
+from waygraph.sources import csv as sources  # noqa: E402
+
+_NATION_PAIRS = [(q, (q * 7) % 25, (q * 11 + 3) % 25) for q in range(12)]
+_NATION_PAIRS_SQL = "pairs(q, a, b) AS (VALUES " + ", ".join(f"({q}, {a}::BIGINT, {b}::BIGINT)" for q, a, b in _NATION_PAIRS) + ")"
+_NATION_COSTS = o.sssp(f"{o.NATION_TRADE}, {_NATION_PAIRS_SQL}", "SELECT q, a, 0.0::DOUBLE FROM pairs",
+                       "SELECT pairs.q AS qid, round(r.d, 4) AS cost FROM pairs LEFT JOIN r ON r.k = pairs.q AND r.id = pairs.b")
+
+
+def nation_pairs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_NATION_PAIRS, "qid int, src long, dst long")
+
+
+@query(_NATION_COSTS)
+def alt_pairs(spark, sf):
+    found = index.Landmarks.build(kept(derive.nation_trade(spark, sf)), k=3).pair_costs(nation_pairs(spark))
+    return found.select("qid", F.round("cost", 4).alias("cost"))
+
+
+@query(_NATION_COSTS)
+def cch_pairs(spark, sf):
+    found = index.Hierarchy.build(kept(derive.nation_trade(spark, sf))).customise().pair_costs(nation_pairs(spark))
+    return found.select("qid", F.round("cost", 4).alias("cost"))
+
+
+@query(o.sssp(o.HIERARCHY.replace("SELECT s, t, w FROM h0 UNION ALL SELECT t, s, w FROM h0", "SELECT s, t, w * (1 + (s + t) % 4) AS w FROM h0 UNION ALL SELECT t, s, w * (1 + (s + t) % 4) FROM h0"),
+              "SELECT id % 7, id, 0.0::DOUBLE FROM (SELECT CAST(range AS BIGINT) + 1000001 AS id FROM range(5))",
+              "SELECT k + 0 AS source, id, d AS cost FROM r WHERE id < 1000"))
+def cch_reweighted(spark, sf):
+    """The hierarchy of one metric, customised with another."""
+    g = kept(derive.hierarchy(spark, sf))
+    other = g.edges.select("src", "dst", (F.col("w") * (1 + (F.col("src") + F.col("dst")) % 4)).alias("w"))
+    pairs = spark.createDataFrame([((1000001 + k) % 7 * 10 + r, 1000001 + k, r) for k in range(5) for r in range(5)], "qid long, src long, dst long")
+    found = index.Hierarchy.build(g).customise(other).pair_costs(pairs).where("cost IS NOT NULL")
+    return found.select(F.expr("qid div 10").alias("source"), (F.col("qid") % 10).alias("id"), "cost")
+
+
+@query(f"WITH RECURSIVE {o.SUPPLIER_PART}, r(id, hops) USING KEY (id) AS (SELECT 10000001::BIGINT, 0 UNION (SELECT e.t, min(r.hops + 1) FROM r JOIN e ON e.s = r.id "
+       "LEFT JOIN recurring.r p ON p.id = e.t WHERE p.id IS NULL GROUP BY e.t)) SELECT id, hops < 2 AS explored, hops = 2 AS in_frontier FROM r WHERE hops <= 2")
+def trace_replay(spark, sf):
+    events = trace.bfs_trace(kept(derive.supplier_part(spark, sf)), one(spark, 10_000_001))
+    return trace.replay(events, 2).select("id", "explored", "in_frontier")
+
+
+_WAYS = """step AS (SELECT user_id AS way_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_id % 400 AS id FROM events),
+pl AS (SELECT CAST(range AS BIGINT) AS id, 13 + ((range * 37) % 100) / 250.0 AS lat, 77 + ((range * 61) % 100) / 250.0 AS lon FROM range(400))"""
+
+
+@query(f"""WITH {_WAYS}, u AS (SELECT id, count(*) AS n FROM step GROUP BY id), s AS (SELECT step.*, lat, lon, max(pos) OVER (PARTITION BY way_id) AS last, n FROM step JOIN u USING (id) JOIN pl USING (id)),
+g AS (SELECT *, CASE WHEN pos = 0 OR pos = last OR n > 1 THEN 1 ELSE 0 END AS cut, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM s WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
+p AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part,
+ coalesce(2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * power(sin(radians(lon - lo) / 2), 2)))), 0) AS leg FROM g),
+l AS (SELECT way_id, part, sum(leg) AS w, arg_max(id, pos) AS v FROM p GROUP BY 1, 2), q AS (SELECT way_id, lag(v) OVER (PARTITION BY way_id ORDER BY part) AS u, v, w FROM l),
+k AS (SELECT * FROM q WHERE u IS NOT NULL AND u <> v AND w > 0)
+SELECT u, v, round(min(w), 3) AS w FROM (SELECT u, v, w FROM k WHERE way_id % 4 <> 2 UNION ALL SELECT v, u, w FROM k WHERE way_id % 4 NOT IN (1, 3)) GROUP BY 1, 2""")
+def etl_collapse(spark, sf):
+    """Ways are the users' event sequences: by fours two-way, forward, backward and roundabout."""
+    e = derive.table(spark, sf, "events")
+    ways = e.groupBy(F.col("user_id").alias("way_id")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id"))).alias("m")).select(
+        "way_id", F.transform("m", lambda x: x["event_id"] % 400).alias("nodes"),
+        F.expr("CASE way_id % 4 WHEN 1 THEN 'yes' WHEN 2 THEN '-1' ELSE 'no' END").alias("oneway"), F.expr("CASE way_id % 4 WHEN 3 THEN 'roundabout' END").alias("junction"),
+    )
+    places = spark.range(400).selectExpr("id", "13 + ((id * 37) % 100) / 250.0D AS lat", "77 + ((id * 61) % 100) / 250.0D AS lon")
+    return etl.road_edges(ways, places).select("u", "v", F.round("w", 3).alias("w"))
+
+
+@query("""SELECT 'kept' AS what, (SELECT count(*) FROM lineitem WHERE l_orderkey % 50 <> 0 AND l_linenumber <> 7 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 3)) AS n
+UNION ALL SELECT 'edges: bad w', (SELECT count(*) FROM lineitem WHERE l_orderkey % 50 = 0)
+UNION ALL SELECT 'edges: negative weight', (SELECT count(*) FROM lineitem WHERE l_orderkey % 50 <> 0 AND l_linenumber = 7 AND l_suppkey % 10 <> 3)
+UNION ALL SELECT 'edges: unknown node', (SELECT count(*) FROM lineitem WHERE l_orderkey % 50 <> 0 AND l_suppkey % 10 = 3)""")
+def load_validate(spark, sf):
+    """Edge lines made from lineitem, some with a bad or negative weight or an unknown end."""
+    s = derive.table(spark, sf, "supplier").where("s_suppkey % 10 <> 3")
+    nodes = s.selectExpr("s_suppkey + 2 AS line", "concat(s_suppkey, ', 1.5 ,2') AS text").unionAll(spark.createDataFrame([(1, "id,x,y"), (2, "-1,0,0")], "line long, text string"))
+    li = derive.table(spark, sf, "lineitem")
+    edges = li.selectExpr("l_orderkey * 10 + l_linenumber + 10 AS line", "concat('-1,', l_suppkey, ',', CASE WHEN l_orderkey % 50 = 0 THEN 'x' WHEN l_linenumber = 7 THEN '-5' ELSE '2.5' END) AS text")
+    graph, warnings = sources.read_graph(nodes, edges)
+    kind = F.concat("file", F.lit(": "), F.regexp_replace("reason", r" -?\d+$", "")).alias("what")
+    found = warnings.groupBy(kind).agg(F.count("*").alias("n"))
+    every = spark.createDataFrame([("edges: bad w",), ("edges: negative weight",), ("edges: unknown node",)], "what string")
+    counted = every.join(found, "what", "left").select("what", F.coalesce("n", F.lit(0)).alias("n"))
+    return graph.edges.agg(F.lit("kept").alias("what"), F.count("*").alias("n")).unionByName(counted)
+
+
+@query("SELECT a.k AS algorithm, q AS qid, CASE WHEN a.k = 'dial' THEN 'declined' WHEN q >= 100 THEN 'no path' ELSE 'optimal' END AS verdict FROM (VALUES ('dijkstra'), ('bidijkstra'), ('bellmanford'), ('johnson'), ('dial')) a(k), (VALUES (0), (1), (2), (100)) v(q)")
+def race(spark, sf):
+    g = derive.hierarchy(spark, sf)
+    half = kept(Graph(g.nodes, g.edges.withColumn("w", F.col("w") + 0.5)))
+    pairs = spark.createDataFrame([(0, 0, 1000), (1, 1000, 0), (2, 1, 1), (100, 0, 77)], "qid int, src long, dst long")
+    return harness.race(half, pairs, ["dijkstra", "bidijkstra", "bellmanford", "johnson", "dial"]).select("algorithm", "qid", "verdict")
