@@ -32,7 +32,7 @@ LENGTH, Q = 200, 32
 SIDE = LENGTH - Q  # an anchor's strings reach so far to its left, and LENGTH to its right
 SPAN = SIDE + LENGTH
 #: A bucket of more open anchors than this is refined by rows, not in one task's memory.
-MOST = 8000
+MOST = 40_000
 _STEP = U(0x9FB21C651E98DF25)
 
 
@@ -118,11 +118,11 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 around = padded[pos[:, None] + np.arange(SPAN)]
                 yield pa.record_batch(
                     [
-                        rows.field("bucket"), pa.array([uid[i]] * len(pos), pa.int64()), rows.field("pos"), rows.field("open"), rows.field("large"),
+                        rows.field("bucket"), pa.array([uid[i]] * len(pos), pa.int64()), rows.field("pos"), rows.field("open"),
                         pa.array(np.minimum(pos, SIDE).astype(np.int32)), pa.array(np.minimum(len(t) - pos, LENGTH).astype(np.int32)),
                         pa.array([a.tobytes() for a in around], pa.binary()),
                     ],
-                    ["bucket", "uid", "pos", "open", "large", "left", "right", "bytes"],
+                    ["bucket", "uid", "pos", "open", "left", "right", "bytes"],
                 )
 
 
@@ -135,26 +135,33 @@ def _strings(bucket: np.ndarray, left: np.ndarray, right: np.ndarray, raw: list[
     return key, (back <= left[:, None]) & (LENGTH - back <= right[:, None])
 
 
-def _intervals(uid: np.ndarray, pos: np.ndarray, repeats: np.ndarray, open_: np.ndarray) -> pa.RecordBatch:
-    some = open_ & repeats.any(axis=1)
-    first = repeats.argmax(axis=1)
-    last = SIDE - repeats[:, ::-1].argmax(axis=1)
-    start = pos - SIDE + first
-    end = pos - SIDE + last + LENGTH
-    return pa.record_batch([pa.array(uid[some]), pa.array(start[some].astype(np.int32)), pa.array(end[some].astype(np.int32))], ["uid", "start", "end"])
-
-
 def _refine(batches: Iterator[pa.RecordBatch], at_once: int = 3000) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket. Whole buckets are refined together."""
     held: list[pa.RecordBatch] = []
 
     def done(t: pa.Table) -> pa.RecordBatch:
         bucket, uid, pos, left, right = (t[c].to_numpy() for c in ("bucket", "uid", "pos", "left", "right"))
-        key, real = _strings(bucket, left, right, t["bytes"].to_pylist())
-        _, which, n = np.unique(key[real], return_inverse=True, return_counts=True)
-        repeats = np.zeros(key.shape, bool)
-        repeats[real] = n[which] > 1
-        return _intervals(uid, pos.astype(np.int64), repeats, t["open"].to_numpy(zero_copy_only=False))
+        open_ = t["open"].to_numpy(zero_copy_only=False)
+        keys = np.empty((SIDE + 1, t.num_rows), U)  # by the strings' start
+        real = np.empty(keys.shape, bool)
+        for i in range(0, t.num_rows, 1000):
+            part = slice(i, i + 1000)
+            k, r = _strings(bucket[part], left[part], right[part], t["bytes"].slice(i, 1000).to_pylist())
+            keys[:, part], real[:, part] = k.T, r.T
+        first, last = np.full(t.num_rows, SIDE + 1), np.full(t.num_rows, -1)
+        for at in range(SIDE + 1):
+            order = np.argsort(keys[at])
+            order = order[real[at][order]]
+            same = np.diff(keys[at][order]) == 0
+            twice = np.zeros(len(order), bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            first[order[twice]] = np.minimum(first[order[twice]], at)
+            last[order[twice]] = at
+        some = open_ & (last >= 0)
+        start, end = pos - SIDE + first, pos - SIDE + last + LENGTH
+        columns = [pa.array(uid[some]), pa.array(start[some].astype(np.int32)), pa.array(end[some].astype(np.int32))]
+        return pa.record_batch(columns, ["uid", "start", "end"])
 
     for batch in batches:
         held.append(batch)
@@ -232,7 +239,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialise(rows.select("uid", "text").mapInArrow(_anchor_rows, "uid long, pos int, bucket long, around long"), "anchors")
     met = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     shared = materialise(found.join(met, "bucket"), "shared")
-    release(found)
+    release(found, shuffles=True)
     kinds = shared.where("around IS NOT NULL").groupBy("bucket", "around").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("one"))
     kinds = materialise(kinds, "kinds")
     whole = shared.join(kinds.where("n > 1").select("bucket", "around"), ["bucket", "around"], "left_semi")
@@ -244,24 +251,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = open_.groupBy("bucket").agg(F.count("*").alias("n"))
     many = kinds.where("n > 1").groupBy("bucket").agg(F.count("*").alias("m"))
     sizes = sizes.join(many, "bucket", "left").select("bucket", (F.col("n") + F.coalesce("m", F.lit(0)) > MOST).alias("large"), (F.col("n") + F.coalesce("m", F.lit(0)) > 1).alias("some"))
-    listed = (
+    listed = materialise(
         open_.select("bucket", "uid", "pos", F.lit(True).alias("open"))
         .unionAll(kinds.where("n > 1").select("bucket", "one.uid", "one.pos", F.lit(False).alias("open")))
-        .join(sizes.where("some"), "bucket")
-        .groupBy("uid")
-        .agg(F.collect_list(F.struct("bucket", "pos", "open", "large")).alias("anchors"))  # of one text
-    )
-    around = (
-        rows.select("uid", "text").join(listed, "uid")
-        .mapInArrow(_surroundings, "bucket long, uid long, pos int, open boolean, large boolean, left int, right int, bytes binary")
+        .join(sizes.where("some"), "bucket"),
+        "listed",
     )
-    around = materialise(around, "around")
+
+    def around(some: DataFrame) -> DataFrame:
+        of_text = some.groupBy("uid").agg(F.collect_list(F.struct("bucket", "pos", "open")).alias("anchors"))
+        return rows.select("uid", "text").join(of_text, "uid").mapInArrow(
+            _surroundings, "bucket long, uid long, pos int, open boolean, left int, right int, bytes binary"
+        )
+
     spans = "uid long, start int, end int"
-    small = around.where("NOT large").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine, spans)
-    strings = around.where("large").mapInArrow(_string_rows, "key long, uid long, start int, open boolean")
-    twice = strings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    large = strings.where("open").join(twice, "key").select("uid", "start", (F.col("start") + LENGTH).alias("end"))
-    gone = done.unionAll(small).unionAll(large).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
+    small = around(listed.where("NOT large")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine, spans)
+    small = materialise(small, "spans")
+    gone = done.unionAll(small)
+    if not listed.where("large").isEmpty():
+        strings = around(listed.where("large")).mapInArrow(_string_rows, "key long, uid long, start int, open boolean")
+        strings = materialise(strings, "strings")
+        twice = strings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        gone = gone.unionAll(strings.where("open").join(twice, "key").select("uid", "start", (F.col("start") + LENGTH).alias("end")))
+    release(listed, shuffles=True)
+    gone = gone.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
     out = rows.join(gone, "uid", "left").select("id", "text", "spans").mapInArrow(
         partial(_cut, kept=kept), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
