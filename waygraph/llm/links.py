@@ -10,20 +10,10 @@ from pyspark.sql import functions as F
 from waygraph.loop import connected_components, materialise
 
 
-def pairs_across(inside: DataFrame, last: bool) -> DataFrame:
-    """Every pair of a bucket's nodes whose labels differ."""
-    return (
-        inside.alias("o")
-        .join(inside.alias("m"), "key")
-        .where("o.node < m.node AND o.label <> m.label")
-        .select(F.col("o.node").alias("a"), F.col("m.node").alias("b"))
-    )
-
-
 def bucket_components(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    across: Callable[[DataFrame, bool], DataFrame] = pairs_across,
+    across: Callable[[DataFrame, bool], DataFrame],
     rounds: int = 1,
 ) -> DataFrame:
     """Components of the graph of verified pairs that share a bucket.
@@ -32,9 +22,9 @@ def bucket_components(
     those that are links. First each node is held against its bucket's least
     node only. A bucket whose nodes then have one label needs no more, as
     further links cannot join anything. Of the others, `across` gets the
-    members as `(key, node, label)` and returns pairs of different labels to
-    verify: in the last round all that can be links, before it any of them.
-    So no component is lost. Returns `(id, component)` for linked nodes.
+    members as `(key, node, label)` and returns links `(a, b)` between nodes or
+    labels: in the last round all that join different labels, before it any of
+    them. So no component is lost. Returns `(id, component)` for linked nodes.
     """
     by_key = Window.partitionBy("key").orderBy("node")
     stars = members.withColumn("center", F.first("node").over(by_key)).where("node <> center").distinct()
@@ -60,7 +50,7 @@ def bucket_components(
             .distinct(),
             "inside",
         )
-        more = materialise(verify(across(inside, turn == rounds - 1).distinct()).select("a", "b"), "links")
+        more = materialise(across(inside, turn == rounds - 1).select("a", "b").distinct(), "links")
         if not more.isEmpty():
             known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
             labels = materialise(connected_components(known.unionAll(more.toDF("u", "v"))), "labels")

@@ -226,13 +226,14 @@ def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: st
             "node",
             "label",
         )
-        return (
+        likely = (
             dealt.join(bits, "node")
             .select("key", "part", "node", "label", "n", "bits")
             .repartition("key", "part")
             .sortWithinPartitions("key", "part")
             .mapInArrow(partial(_across, percent=percent, last=last), "a long, b long")
         )
+        return verify(likely.distinct())
 
     labels = bucket_components(members, verify, across, rounds=3).withColumnRenamed("id", "node")
     linked = classes.join(labels, "node")
