@@ -78,24 +78,42 @@ def bit_sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
+def folded(sketch: bytes, width: int) -> np.ndarray:
+    """A sketch's halves XORed until `width` words of 64 bits are left."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, U).reshape(-1, width), axis=0)
+
+
 def _features(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
-        sizes, names, bits = [], [], []
+        sizes, names, bits, small = [], [], [], []
         for _, _, data, off in chunks(batch.column(1)):
             for s in shingle_sets(data, off, n):
                 sizes.append(len(s))
                 names.append(name := set_name(s) if len(s) else None)
                 bits.append(None if name is None or name in seen else bit_sketch(s))
+                small.append(bits[-1] and folded(bits[-1], max(8, len(bits[-1]) // 32)).tobytes())
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(name)
         yield pa.record_batch(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bits, pa.binary())],
-            ["id", "n", "node", "bits"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.binary())],
+            ["id", "n", "node", "bits", "small"],
         )
 
 
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Drop the pairs whose small sketches differ in more bits than a link's sets may differ in elements."""
+    for batch in batches:
+        n = batch["a_n"].to_numpy() + batch["b_n"].to_numpy()
+        far = np.zeros(len(n), np.int64)
+        for i, (x, y) in enumerate(zip(batch["a_small"].to_pylist(), batch["b_small"].to_pylist())):
+            width = min(len(x), len(y)) // 8
+            far[i] = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(dtype=np.int64)
+        near = pa.array(far * (100 + percent) <= n * (100 - percent))
+        yield batch.select(["a", "b", "a_id", "b_id"]).filter(near)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # copies within the task add nothing
     for batch in batches:
@@ -192,17 +210,19 @@ def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: st
     ignored, whatever their names. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    features = materialise(rows.mapInArrow(partial(_features, n=n), "id long, n long, node long, bits binary"), "features")
-    classes = features.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    features = materialise(rows.mapInArrow(partial(_features, n=n), "id long, n long, node long, bits binary, small binary"), "features")
+    classes = features.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("small").alias("small"))
+    classes = materialise(classes, "classes")
     members = rows.select("text").mapInArrow(partial(_sketches, n=n, percent=percent), "key long, node long")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        own = lambda c: classes.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_id"), F.col("n").alias(f"{c}_n"))
+        own = lambda c: classes.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_id"), F.col("n").alias(f"{c}_n"), F.col("small").alias(f"{c}_small"))
         text = lambda c: rows.where("id IS NOT NULL").select(F.col("id").alias(f"{c}_id"), F.col("text").alias(f"{c}_text"))
         sized = pairs.join(own("a"), "a").join(own("b"), "b").where(
             f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
         )
-        sized = materialise(sized.select("a", "b", "a_id", "b_id"), "pairs")
+        sized = sized.where("a_id IS NOT NULL AND b_id IS NOT NULL").mapInArrow(partial(_possible, percent=percent), "a long, b long, a_id long, b_id long")
+        sized = materialise(sized, "pairs")
         return (
             sized.join(text("b"), "b_id")
             .join(text("a"), "a_id")
@@ -240,6 +260,6 @@ def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: st
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     found = linked.join(least, "component").select("node", "least")
     whole = classes.join(found, "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
-    return features.drop("bits").join(whole, "node", "left").select(
+    return features.drop("bits", "small").join(whole, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
     )
