@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waygraph.loop import connected_components, materialise
+from waygraph.loop import connected_components, materialise, release
 
 
 def bucket_components(
@@ -29,9 +29,11 @@ def bucket_components(
     by_key = Window.partitionBy("key").orderBy("node")
     stars = members.withColumn("center", F.first("node").over(by_key)).where("node <> center").distinct()
     stars = materialise(stars, "stars")
+    release(members, shuffles=True)
     pairs = stars.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = materialise(verify(pairs).select("a", "b"), "links")
     labels = materialise(connected_components(links.toDF("u", "v")), "labels")
+    release(links, shuffles=True)
     for turn in range(rounds):
         own = labels.select(F.col("id").alias("node"), F.col("component").alias("ln"))
         centers = labels.select(F.col("id").alias("center"), F.col("component").alias("lc"))
@@ -50,8 +52,12 @@ def bucket_components(
             .distinct(),
             "inside",
         )
+        release(keys, shuffles=True)
         more = materialise(across(inside, turn == rounds - 1).select("a", "b").distinct(), "links")
+        release(inside, shuffles=True)
         if not more.isEmpty():
             known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
             labels = materialise(connected_components(known.unionAll(more.toDF("u", "v"))), "labels")
+        release(more, shuffles=True)
+    release(stars)
     return labels

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from waygraph.llm.links import bucket_components
 from waygraph.llm.words import U, chunks, flat, mix, shingle_sets
-from waygraph.loop import materialise
+from waygraph.loop import materialise, release
 
 PART_BITS = 256
 #: A band's largest size over its smallest; 1.45 gives the fewest sketch parts in all.
@@ -223,6 +223,7 @@ def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: st
         )
         sized = sized.where("a_id IS NOT NULL AND b_id IS NOT NULL").mapInArrow(partial(_possible, percent=percent), "a long, b long, a_id long, b_id long")
         sized = materialise(sized, "pairs")
+        release(pairs, shuffles=True)
         return (
             sized.join(text("b"), "b_id")
             .join(text("a"), "a_id")
