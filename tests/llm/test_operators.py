@@ -388,6 +388,51 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def lines_left(texts):
+    """By all pairs of lines and the shingles at every character."""
+    every = sorted(((i, k, x.strip(" ")) for i, t in texts for k, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= 30), key=lambda x: x[:2])
+    shingles = [{x[k : k + 12] for k in range(len(x) - 11)} for _, _, x in every]
+    linked = [(a, b) for b in range(len(every)) for a in range(b) if 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])]
+    label = components(len(every), linked)
+    gone = {every[k][:2] for k in range(len(every)) if label[k] != k}
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts}
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_lines_without_spaces(spark, block):
+    """Links by every character: addresses, tables, encoded bytes, Chinese and characters beyond 16 bits."""
+    r = random.Random(11)
+    some = lambda pool, n: "".join(r.choice(pool) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    kinds = [lambda: "https://www." + some(letters, 60), lambda: "\t".join(some(letters, 5) for _ in range(14)), lambda: some("的一是不了人我在有他这中大来上国", 90), lambda: some("😀😃😄😁🙂é", 80)]
+    texts = []
+    for i in range(48):
+        line = kinds[i % 4]()
+        near = line[:-1] + ("x" if line[-1] != "x" else "y")  # one shingle of many
+        far = line[:12] + kinds[i % 4]()[12:]
+        texts.append((i, "\n".join([line, "word " * 8 + some(letters, 40)])))
+        texts += [(100 + i, near), (200 + i, far)]
+    old, line_dedup.BLOCK = line_dedup.BLOCK, block
+    try:
+        got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(docs(spark, texts)).select("row.doc_id", "text").collect()}
+    finally:
+        line_dedup.BLOCK = old
+    want = lines_left(texts)
+    assert sum(t == "" for t in want.values()) == 48 and all(want[200 + i] for i in range(48))
+    assert got == want
+
+
+def test_lines_by_every_character(spark):
+    """Lines of words, also with a long last word of which only the end differs."""
+    r = random.Random(3)
+    lines = [" ".join(r.choice(VOCAB) for _ in range(14)) for _ in range(20)]
+    texts = [(i, "\n".join(r.choice(lines)[: r.choice([None, -1, -2])] for _ in range(3))) for i in range(30)]
+    tails = ["".join(r.choice("abcdefgh") for _ in range(60)) for _ in range(6)]
+    texts += [(100 + i, "see the page at " + t) for i, t in enumerate(tails)] + [(200, "see the page at " + tails[0][:12] + tails[1][12:])]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(docs(spark, texts)).select("row.doc_id", "text").collect()}
+    assert got == lines_left(texts)
+
+
 # ---- the pipeline
 
 
