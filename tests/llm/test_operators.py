@@ -309,6 +309,38 @@ def test_contamination(spark):
     assert decontaminate.contamination(docs(spark, rows).limit(0), bench).count() == 0
 
 
+def test_contamination_of_whole_passages(spark):
+    """Verbatim passages that are mostly values, short items in a document, and a passage beside a value that conflicts."""
+    sums = " ".join(str(k * 7) for k in range(20))
+    title = "The Grand Old Duke Of York Had Ten Thousand Men And He Marched Them Up"
+    tail = prose(16)
+    items = [(1, sums), (2, title), (3, "who wrote the Iliad"), (4, f"12 boats sail and 12 boats sink {tail}"), (5, "中国的首都是哪一座城市请回答我"), (6, "小王有几只羊"), (7, "a 12 b 30 " + prose(11))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, f"{prose(9)} {sums} {prose(9)}"), (2, f"{prose(9)}. {title} {prose(9)}"), (3, f"{prose(9)} Who wrote the Iliad? {prose(9)}"), (4, f"7 boats sail and 12 boats sink {tail}"),
+        (5, f"{prose(4)}好的{items[4][1]}谢谢"), (6, f"问{items[5][1]}呢"), (7, items[6][1].replace("12", "5").replace("30", "5")), (11, prose(9) + " " + " ".join(str(k * 9) for k in range(20))),
+        (12, "The Grand New Duke Of Ghent Had Nine Hundred Men And She Led Them Down"), (13, prose(9) + " who wrote the Odyssey"), (14, "中国的首都在哪里"),
+    ]
+    got = decontaminate.contamination(docs(spark, rows), bench).collect()
+    assert {(r["doc_id"], tuple(r["item_ids"])) for r in got if r["contaminated"]} == {(k, (k,)) for k in range(1, 8)}
+
+
+def test_longest_run():
+    """Against all runs of windows."""
+    r = random.Random(2)
+    for _ in range(500):
+        at = sorted(r.sample(range(40), r.randint(1, 20)))
+        windows = [(a, [r.choice("ab") for _ in range(r.randint(0, 2))], []) for a in at]
+        windows = [(a, its, [r.choice("xxxxxy") for _ in its]) for a, its, _ in windows]
+        best = 0
+        for lo in range(len(at)):
+            for hi in range(lo + 1, len(at) + 1):
+                pairs = {p for _, its, mine in windows[lo:hi] for p in zip(its, mine)}
+                if len({x for x, _ in pairs}) == len(pairs):
+                    best = max(best, len({a + k for a, _, _ in windows[lo:hi] for k in range(decontaminate.WINDOW)}))
+        assert decontaminate.longest_run(windows) == best
+
+
 # ---- 7 and 8, by held-out accuracy
 
 

@@ -2,15 +2,16 @@
 
 Numbers, names and units are replaced by typed placeholders, so that a question
 asked again with other values keeps its template. Windows of WINDOW template
-tokens are hash-joined between documents and benchmark. What meets is put on
-diagonals (document position minus item position); runs of windows on a diagonal
-are a candidate passage, and it counts only if its slots are consistent: each
-value of the item stands for one value in the document, and the other way round.
+tokens are hash-joined between documents and benchmark; those that are mostly
+placeholders are joined by their values. What meets is put on diagonals (document
+position minus item position) and cut into the longest runs of windows with
+consistent slots: each value of the item stands for one value in the document.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -25,12 +26,14 @@ from waygraph.loop import materialise
 WINDOW = 8
 #: Words of its item that a passage must cover: so many, or the whole of a shorter item.
 LEAST = 13
-#: Placeholders at most in a window that may start a match, so that no window is all slots.
+#: Placeholders at most in a window that is looked up by its template; with more of them, by its values.
 SLOTS = 4
 #: Bits of the filter of benchmark windows: 1 MB is broadcast however large the benchmark is.
 FILTER_BITS = 1 << 23
 
-TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,:/]\d+)*|[%°€$£]")
+#: Scripts without spaces between words: each character is a token.
+_SIGNS = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[^\W\d_{_SIGNS}]+(?:['’][^\W\d_{_SIGNS}]+)*|[{_SIGNS}]|\d+(?:[.,:/]\d+)*|[%°€$£]")
 #: Units of measure and money.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mile miles inch inches foot feet meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -77,17 +80,38 @@ def token_hashes(tokens: list[str]) -> np.ndarray:
 
 _PLACE = mix(np.arange(1, WINDOW + 1, dtype=U))
 _SLOT = token_hashes([NUMBER, NAME, UNIT])
+_RAW, _SHORT = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 
 
-def window_hashes(h: np.ndarray) -> np.ndarray:
-    """Hash of each window of a template; a shorter template is one window as a whole. 0: too many slots."""
-    n = max(1, len(h) - WINDOW + 1) if len(h) else 0
-    slot = np.isin(h, _SLOT)
-    out, slots = np.zeros(n, U), np.zeros(n, np.int64)
-    for k in range(min(WINDOW, len(h))):
+def _sums(h: np.ndarray, length: int) -> np.ndarray:
+    n = max(0, len(h) - length + 1)
+    out = np.zeros(n, U)
+    for k in range(length):
         out += mix(h[k : k + n] ^ _PLACE[k])
-        slots += slot[k : k + n]
-    return np.where(slots <= min(SLOTS, len(h) // 2), mix(out + U(min(WINDOW, len(h)))), U(0))
+    return out
+
+
+def value_hashes(tokens: list[str], values: list[str], h: np.ndarray) -> np.ndarray:
+    """Hashes of the values: a token that is no slot is its own value."""
+    raw, slots = h.copy(), np.flatnonzero(np.isin(h, _SLOT))
+    raw[slots] = token_hashes([values[k] for k in slots])
+    return raw
+
+
+def window_hashes(h: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window, and whether it is of the values; a shorter template is one window as a whole."""
+    size = min(WINDOW, len(h))
+    if not size:
+        return np.zeros(0, U), np.zeros(0, bool)
+    slots = np.convolve(np.isin(h, _SLOT).astype(np.int64), np.ones(size, np.int64), "valid")
+    verbatim = slots > min(SLOTS, len(h) // 2)
+    out = mix(_sums(h, size) + U(size))
+    return (np.where(verbatim, mix(_sums(raw, size) + _RAW + U(size)), out) if verbatim.any() else out), verbatim
+
+
+def short_hashes(raw: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the values of each run of `length` tokens, for items of that length."""
+    return mix(_sums(raw, length) + _SHORT + U(length))
 
 
 def _place(h: np.ndarray) -> np.ndarray:
@@ -99,10 +123,15 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             tokens, values = template(text or "")
-            for k, h in enumerate(window_hashes(token_hashes(tokens)).view(np.int64)):
-                if h:
-                    part = slice(k, k + WINDOW)
-                    out.append({"window": int(h), "item": item, "at": k, "size": len(tokens), "slots": _slots(tokens[part], values[part])})
+            h = token_hashes(tokens)
+            raw = value_hashes(tokens, values, h)
+            keys = list(window_hashes(h, raw)[0].view(np.int64))
+            if 0 < len(h) < WINDOW:
+                keys += list(short_hashes(raw, len(h)).view(np.int64))
+            for k, key in enumerate(keys):
+                at = k if len(h) >= WINDOW else 0
+                part = slice(at, at + WINDOW)
+                out.append({"window": int(key), "item": item, "at": at, "size": len(tokens), "slots": _slots(tokens[part], values[part])})
         yield pa.RecordBatch.from_pylist(out, _ITEM)
 
 
@@ -112,7 +141,7 @@ def _slots(tokens: list[str], values: list[str]) -> list[str]:
 
 
 _ITEM = pa.schema([("window", pa.int64()), ("item", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.string()))])
-_DOC = pa.schema([("uid", pa.int64()), ("window", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.string()))])
+_DOC = pa.schema([("uid", pa.int64()), ("window", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("verbatim", pa.bool_()), ("slots", pa.list_(pa.string()))])
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,22 +150,65 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(p >> 6), pa.array(np.left_shift(np.uint64(1), (p & 63).astype(U)).view(np.int64))], ["word", "bit"])
 
 
-def _documents(batches: Iterator[pa.RecordBatch], bits: np.ndarray, short: bool) -> Iterator[pa.RecordBatch]:
-    """Windows of whole documents that may occur in the benchmark. short: the benchmark has templates below one window."""
+def _documents(batches: Iterator[pa.RecordBatch], bits: np.ndarray, short: list[int]) -> Iterator[pa.RecordBatch]:
+    """Windows of whole documents that may occur in the benchmark. short: the sizes of its templates below one window."""
+
+    def known(h: np.ndarray) -> np.ndarray:
+        p = _place(h)
+        return np.flatnonzero((bits[p >> 6] >> (p & 63).astype(U)) & U(1))
+
     for batch in batches:
         out: list[dict] = []
         for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             tokens, values = template(text or "")
             if len(tokens) < WINDOW and not short:
                 continue
-            h = window_hashes(token_hashes(tokens))
-            p = _place(h)
-            for k in np.flatnonzero((h != 0) & ((bits[p >> 6] >> (p & 63).astype(U)) & U(1)).astype(bool)):
+            hashed = token_hashes(tokens)
+            raw = value_hashes(tokens, values, hashed)
+            h, verbatim = window_hashes(hashed, raw)
+            for k in known(h):
                 part = slice(k, k + WINDOW)
-                out.append({"uid": uid, "window": int(h[k : k + 1].view(np.int64)[0]), "pos": int(k), "size": len(tokens), "slots": _slots(tokens[part], values[part])})
+                slots = [] if verbatim[k] else _slots(tokens[part], values[part])
+                out.append({"uid": uid, "window": int(h[k : k + 1].view(np.int64)[0]), "pos": int(k), "size": len(tokens), "verbatim": bool(verbatim[k]), "slots": slots})
+            for n in short:
+                h = short_hashes(raw, n)
+                for k in known(h):
+                    out.append({"uid": uid, "window": int(h[k : k + 1].view(np.int64)[0]), "pos": int(k), "size": n, "verbatim": True, "slots": []})
         yield pa.RecordBatch.from_pylist(out, _DOC)
 
 
+def longest_run(windows: list[tuple[int, list[str], list[str]]]) -> int:
+    """Tokens that the longest run of a diagonal's windows (at, values of the item, values of the document) covers.
+
+    In a run each value of the item stands for one value of the document. A
+    window covers what the one before it does not reach.
+    """
+    windows = sorted(windows)
+    stands: dict[str, Counter] = defaultdict(Counter)
+    best = left = twice = cover = 0
+    for k, (at, its, mine) in enumerate(windows):
+        cover += min(WINDOW, at - windows[k - 1][0]) if k > left else WINDOW
+        for x, y in zip(its, mine):
+            twice += y not in stands[x] and len(stands[x]) > 0
+            stands[x][y] += 1
+        while twice:
+            for x, y in zip(*windows[left][1:]):
+                stands[x][y] -= 1
+                if not stands[x][y]:
+                    del stands[x][y]
+                    twice -= len(stands[x]) > 0
+            left += 1
+            cover -= min(WINDOW, windows[left][0] - windows[left - 1][0]) if left <= k else cover
+        best = max(best, cover)
+    return best
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        covered = [min(size, longest_run([(w["at"], w["its"], w["mine"]) for w in of])) for size, of in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(covered, pa.int32())], ["uid", "item", "size", "covered"])
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -152,7 +224,8 @@ def contamination(
     each input row: item_ids ascending, covered the longest passage in tokens. A
     passage is a run of meeting windows on one diagonal that covers `least` of the
     item's template tokens, or all of a shorter item, with consistent slots.
-    Templates below WINDOW tokens match only a document with the same template.
+    Templates below WINDOW tokens match a document with the same template, and
+    any document that holds their words and values verbatim.
     Null and empty texts and items match nothing, null item ids are ignored, null
     ids are kept, repeated rows are each reported, other columns are ignored. The
     benchmark may be of any size: its windows are joined by hash, after a filter
@@ -163,35 +236,21 @@ def contamination(
     bits = np.zeros(FILTER_BITS >> 6, U)
     for r in items.select("window").mapInArrow(_bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toLocalIterator():
         bits[r["word"]] = np.array([r["bit"]], np.int64).view(U)[0]  # FILTER_BITS / 64 rows at most
-    short = not items.where(f"size < {WINDOW}").isEmpty()
+    short = sorted(r["size"] for r in items.where(f"size < {WINDOW}").select("size").distinct().collect())  # WINDOW - 1 rows at most
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("id", F.xxhash64("id", "text").alias("uid"), "text")
-    found = rows.select("uid", "text").mapInArrow(partial(_documents, bits=bits, short=short), "uid long, window long, pos int, size int, slots array<string>")
+    found = rows.select("uid", "text").mapInArrow(partial(_documents, bits=bits, short=short), "uid long, window long, pos int, size int, verbatim boolean, slots array<string>")
     met = (
         found.distinct()
         .withColumnRenamed("size", "doc_size")
         .join(items, "window")
         .where(f"size >= {WINDOW} OR doc_size = size")
-        .select("uid", "item", (F.col("pos") - F.col("at")).alias("diagonal"), "at", "size", F.arrays_zip(found["slots"].alias("mine"), items["slots"].alias("its")).alias("slots"))
+        .select("uid", "item", (F.col("pos") - F.col("at")).alias("diagonal"), "at", "size", items["slots"].alias("its"), F.when(F.col("verbatim"), items["slots"]).otherwise(found["slots"]).alias("mine"))
     )
     # a diagonal of one document and item holds no more rows than the item has windows
-    runs = met.groupBy("uid", "item", "diagonal").agg(
-        F.max("size").alias("size"), F.sort_array(F.collect_set("at")).alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")
-    )
-    one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda x: x["its"]))) == F.size("slots")) & (
-        F.size(F.array_distinct(F.transform("slots", lambda x: x["mine"]))) == F.size("slots")
-    )
-    # tokens covered: each window adds what the one before it does not reach
-    covered = F.least(
-        F.col("size"),
-        F.aggregate(
-            "at",
-            F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
-            lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(WINDOW), x - a["last"])).alias("n")),
-            lambda a: a["n"],
-        ),
-    )
-    passages = runs.where(one_to_one).withColumn("covered", covered).where(F.col("covered") >= F.least(F.lit(least), F.col("size")))
+    runs = met.groupBy("uid", "item", "diagonal").agg(F.max("size").alias("size"), F.collect_set(F.struct("at", "its", "mine")).alias("windows"))
+    passages = runs.select("uid", "item", "size", "windows").mapInArrow(_runs, "uid long, item long, size int, covered int")
+    passages = passages.where(F.col("covered") >= F.least(F.lit(least), F.col("size")))
     by_doc = passages.groupBy("uid").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), F.max("covered").alias("covered"))
     return rows.select("id", "uid").join(by_doc, "uid", "left").select(
         F.col("id").alias(id_col),
