@@ -262,6 +262,19 @@ def test_disclosing_terms(spark):
     assert pii.personal_data(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_terms_of_whole_documents(spark):
+    """A name on another line, far off, or in texts without the address is marked too, however short; entities are not marked again."""
+    far = "é " * 200
+    rows = [(i, f"Zyxwvut Qo\n{far}{prose(8)}\nwrite to zed@mail.example.org {prose(8)}") for i in range(6)]
+    rows += [(10 + i, f"{prose(20)} write to {prose(20)}") for i in range(60)] + [(90, f"{far}\nzyxwvut QO was here"), (91, "nothing")] + edge_cases()[:-2]
+    found = {r["doc_id"]: [tuple(x) for x in r["found"]] for r in pii.personal_data(docs(spark, rows)).collect()}
+    marked = {i: {dict(rows)[i][a:b].lower() for a, k, b in x if k == 4} for i, x in found.items() if x}
+    assert all({"zyxwvut", "qo"} <= marked[i] and not marked[i] & {"write", "zed", "mail"} for i in range(6))
+    assert marked[90] >= {"zyxwvut", "qo"} and 91 not in marked
+    text = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert text[90].endswith("<TERM> <TERM> was here") and "<EMAIL>" in text[0]
+
+
 # ---- 1
 
 
