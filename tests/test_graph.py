@@ -78,6 +78,35 @@ def test_betweenness_of_a_path(spark):
     assert b == {0: 0.0, 1: 6.0, 2: 8.0, 3: 6.0, 4: 0.0}
 
 
+def test_betweenness_query_of_the_whole_graph(spark):
+    """The registered query against path counts by brute force, over every arc of the hierarchy."""
+    from waygraph.plans import derive, queries
+
+    sf = "/root/testdata/sf0.001"
+    arcs = {}
+    for u, v, w in derive.hierarchy(spark, sf).edges.select("src", "dst", "w").collect():
+        arcs[u, v] = min(w, arcs.get((u, v), w))
+    ids = sorted({x for a in arcs for x in a})
+    out = {i: [] for i in ids}
+    for (u, v), w in arcs.items():
+        out[u].append((v, w))
+    dist, count = {}, {}
+    for s in ids:
+        d, left = {s: 0.0}, {s}
+        while left:  # relax until nothing changes
+            left = {v for u in left for v, w in out[u] if d[u] + w < d.get(v, float("inf")) - 1e-12 and not d.update({v: d[u] + w})}
+        n = {s: 1}
+        for v in sorted(d, key=d.get)[1:]:
+            n[v] = sum(n[u] for u in d if u in n and (u, v) in arcs and abs(d[u] + arcs[u, v] - d[v]) < 1e-9)
+        dist[s], count[s] = d, n
+    want = {
+        v: sum(count[s][v] * count[v][t] / count[s][t] for s in ids for t in dist[s] if s != v != t != s and v in dist[s] and t in dist[v] and abs(dist[s][v] + dist[v][t] - dist[s][t]) < 1e-9)
+        for v in ids
+    }
+    got = dict(rows(queries.QUERIES["betweenness"](spark, sf), "id", "score"))
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-5 for v in ids)
+
+
 def test_search_algorithms_agree(spark):
     arcs = [(u, v, 1 + (u * 7 + v * 3) % 5) for u in range(14) for v in ((u * 5 + 1) % 15, (u * 3 + 2) % 15) if u != v]
     g = graph(spark, arcs)
