@@ -214,3 +214,28 @@ def test_transit(spark):
     rail = transit.rail_only(st, good)
     pair = spark.createDataFrame([(0, transit.STATION_BASE + 1, transit.STATION_BASE + 3)], "qid int, src long, dst long")
     assert rail.edges.count() == 4 and paths.pair_costs(rail, pair).first()["cost"] == 240.0
+
+
+def test_transit_links_the_nearest_in_metres(spark):
+    """Of stations without nodes in the radius, against all distances; at 60 degrees east is nearer than north."""
+    import math
+    import random
+
+    r = random.Random(4)
+    places = [(10.0, 60.010 + k / 1000) for k in range(8)] + [(10.018, 60.0)] + [(r.uniform(9, 12), r.uniform(58, 61)) for _ in range(40)]
+    stations = [(0, 10.0, 60.0), (1, 30.0, 65.0), (2, 10.0, 20.0)] + [(3 + k, r.uniform(9, 12), r.uniform(58, 61)) for k in range(20)]
+    nodes = spark.createDataFrame([(k, *p) for k, p in enumerate(places)], "id long, x double, y double")
+    road = Graph(nodes, spark.createDataFrame([], "src long, dst long, w double"), "geographic")
+    st = spark.createDataFrame([(i, f"s{i}", x, y) for i, x, y in stations], "id long, name string, lon double, lat double")
+    lk = spark.createDataFrame([], "`from` long, `to` long, seconds double")
+    got = {(s, d) for s, d in rows(transit.combine(road, st, lk).edges.where(f"dst >= {transit.STATION_BASE}"), "src", "dst")}
+
+    def metres(a, b):
+        return math.hypot(math.radians(a[0] - b[0]) * math.cos(math.radians((a[1] + b[1]) / 2)), math.radians(a[1] - b[1])) * 6371008.8
+
+    want = set()
+    for i, *at in stations:
+        d = sorted((metres(at, p), k) for k, p in enumerate(places))
+        near = [x for x in d if x[0] <= transit.RADIUS][: transit.TRANSFERS] or d[:1]
+        want |= {(k, i + transit.STATION_BASE) for _, k in near}
+    assert (8, transit.STATION_BASE) in want and got == want

@@ -56,6 +56,22 @@ def rail_only(stations: DataFrame, links: DataFrame) -> Graph:
     return Graph(nodes, edges, "geographic")
 
 
+def _reachable(alone: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
+    """(qid, id): for each station the nodes up to twice the metres of one of them, so that the nearest in metres is there.
+
+    The one is the nearest in degrees. Stations of like distances are looked up together, as cells have one size.
+    """
+    base = max(radius, 1.0)
+    one = k_nearest(alone, nodes, 1).select("qid", "id").join(alone, "qid").join(nodes.select("id", "x", "y"), "id")
+    m = equirectangular(F.col("qy"), F.col("qx"), F.col("y"), F.col("x"))
+    one = materialise(one.select("qid", "qx", "qy", F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.lit(1.0), m * 2 / base)) / F.log(F.lit(4.0)))).cast("int").alias("far")), "alone")
+    out = one.select("qid", F.col("qid").alias("id")).limit(0)
+    for row in one.select("far").distinct().collect():  # a few powers of four between the radius and the earth's girth
+        those = one.where(F.col("far") == row["far"])
+        out = out.unionAll(within(those, nodes, base * 4 ** row["far"] * 1.001, "geographic").select("qid", "id"))
+    return out
+
+
 def combine(
     road: Graph, stations: DataFrame, links: DataFrame, radius: float = RADIUS, board: float = BOARD, walk: float = WALK, drive: float = DRIVE
 ) -> Graph:
@@ -67,8 +83,7 @@ def combine(
     near = within(q, road.nodes, radius, "geographic").select("qid", "id")
     near = materialise(near, "near")
     alone = q.join(near.select("qid").distinct(), "qid", "left_anti")
-    # degrees are no metric, so of a few nearest by degrees the nearest by metres is taken
-    rest = k_nearest(alone, road.nodes, 8).select("qid", "id").withColumn("alone", F.lit(True))
+    rest = _reachable(alone, road.nodes, radius).withColumn("alone", F.lit(True))
     met = near.withColumn("alone", F.lit(False)).unionByName(rest).join(q, "qid").join(road.nodes.select("id", "x", "y"), "id")
     met = met.withColumn("m", equirectangular(F.col("qy"), F.col("qx"), F.col("y"), F.col("x")))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("m", "id"))
