@@ -2,84 +2,133 @@
 
 Numbers, names and units are replaced by typed placeholders, so that a question
 asked again with other values keeps its template. Windows of WINDOW template
-tokens are hash-joined between documents and benchmark; those that are mostly
-placeholders are joined by their values. What meets is put on diagonals (document
-position minus item position) and cut into the longest runs of windows with
-consistent slots: each value of the item stands for one value in the document.
+tokens are hash-joined between documents and benchmark by their templates, unless
+they are mostly placeholders, and by their values, whatever their case. What meets
+is put on diagonals (document position minus item position) and cut into the
+longest runs of windows with consistent slots: each value of the item stands for
+one value in the document, while two values may become the same one.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.llm.words import U, mix, word_hashes
+from waygraph.llm.words import U, _Cache, mix, powers
 from waygraph.loop import materialise
 
 WINDOW = 8
 #: Words of its item that a passage must cover: so many, or the whole of a shorter item.
 LEAST = 13
-#: Placeholders at most in a window that is looked up by its template; with more of them, by its values.
+#: Placeholders at most in a window that is looked up by its template; with more of them, by its values alone.
 SLOTS = 4
+#: Bytes of texts, about, that are cut into tokens together.
+RUN = 1 << 19
 #: Bits of the filter of benchmark windows: 1 MB is broadcast however large the benchmark is.
 FILTER_BITS = 1 << 23
 
-#: Scripts without spaces between words: each character is a token.
-_SIGNS = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-TOKEN = re.compile(rf"[^\W\d_{_SIGNS}]+(?:['’][^\W\d_{_SIGNS}]+)*|[{_SIGNS}]|\d+(?:[.,:/]\d+)*|[%°€$£]")
+#: Scripts without spaces between words, of which each character is a token.
+SIGNS = ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 #: Units of measure and money.
-UNITS = frozenset(
+UNITS = (
     "mm cm m km in ft yd mi mile miles inch inches foot feet meter meters metre metres kilometer kilometers kilometre kilometres "
     "mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes "
     "ms s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
     "ml cl dl l liter liters litre litres gallon gallons mph kmh kph percent dollar dollars euro euros cent cents usd eur gbp "
-    "% ° € $ £".split()
-)
-NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
-
-
-def template(text: str) -> tuple[list[str], list[str]]:
-    """Template tokens and the values that they stand for.
-
-    A name is a capitalised word, not in capitals after a sentence's start: one
-    that follows a word or number with only spaces in between.
+    "% ° € $ £"
+).split()
+OTHER, SPACE, LETTER, SIGN, DIGIT, MONEY, APOSTROPHE, POINT, NEW = range(9)
+_chars = _Cache()
+
+
+def _kind(c: str) -> int:
+    if c.isdecimal():
+        return DIGIT
+    if any(lo <= ord(c) <= hi for lo, hi in SIGNS):
+        return SIGN
+    if c.isalnum():
+        return LETTER
+    if c.isspace():
+        return OTHER if c == "\n" else SPACE
+    return MONEY if c in "%°€$£" else APOSTROPHE if c in "'’" else POINT if c in ".,:/" else OTHER
+
+
+def _characters(points: np.ndarray) -> dict[str, np.ndarray]:
+    """Tables by code point: kind, whether upper case, and the lower-cased character's hash; filled in as characters occur."""
+    if "kind" not in _chars:
+        _chars.update(kind=np.full(0x110000, NEW, np.uint8), upper=np.zeros(0x110000, bool), hash=np.zeros(0x110000, U))
+    kind = _chars["kind"]
+    new = np.unique(points[kind[points] == NEW])
+    for p in new.tolist():
+        kind[p] = _kind(chr(p))
+        _chars["upper"][p] = chr(p).isupper()
+        _chars["hash"][p] = ord(chr(p).lower()[0]) + 1
+    _chars["hash"][new] = mix(_chars["hash"][new] * U(0xD6E8FEB86659FD93))
+    return _chars
+
+
+class Tokens:
+    """The template tokens of a run of texts, as flat arrays.
+
+    Tokens are words (inner apostrophes included), numbers (inner points, commas,
+    colons and strokes included), signs of money and percent, and characters of SIGNS.
+    A number is a slot; so is a unit after a number, and a name: a capitalised word
+    that follows another token with only spaces in between. hash has one value for
+    all slots of a kind, value the lower-cased token's own.
     """
-    tokens, values = [], []
-    end, before = 0, False
-    for m in TOKEN.finditer(text):
-        word = m[0]
-        low = word.lower()
-        inner = before and text[end : m.start()].isspace() and "\n" not in text[end : m.start()]
-        if word[0].isdecimal():
-            t = NUMBER
-        elif low in UNITS and tokens and tokens[-1] == NUMBER:
-            t = UNIT
-        elif inner and word[0].isupper():
-            t = NAME
-        else:
-            t = low
-        tokens.append(t)
-        values.append(low)
-        end, before = m.end(), True
-    return tokens, values
 
-
-def token_hashes(tokens: list[str]) -> np.ndarray:
-    raw = [t.encode() for t in tokens]
-    size = np.array([len(r) for r in raw], np.int64)
-    end = np.cumsum(size)
-    return word_hashes(np.frombuffer(b"".join(raw), np.uint8), end - size, end) if raw else np.zeros(0, U)
-
-
-_PLACE = mix(np.arange(1, WINDOW + 1, dtype=U))
-_SLOT = token_hashes([NUMBER, NAME, UNIT])
+    def __init__(self, texts: list[str]):
+        self.text = "\0".join(texts) + "\0"
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        table = _characters(points)
+        kind = table["kind"][points]
+        for mark, side in ((APOSTROPHE, LETTER), (POINT, DIGIT)):
+            at = np.flatnonzero(kind[1:-1] == mark) + 1
+            kind[at[(kind[at - 1] == side) & (kind[at + 1] == side)]] = side
+        runs, single = (kind == LETTER) | (kind == DIGIT), (kind == SIGN) | (kind == MONEY)
+        change = kind[1:] != kind[:-1]
+        self.start = np.flatnonzero((runs & np.concatenate([[True], change])) | single)
+        self.end = np.flatnonzero((runs & np.concatenate([change, [True]])) | single) + 1
+        text_end = np.cumsum([len(t) + 1 for t in texts])
+        self.first = np.searchsorted(self.start, np.concatenate([[0], text_end]))
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        up, down = powers(len(points) + 1)
+        h = np.zeros(len(points) + 1, U)
+        np.cumsum(table["hash"][points] * up[: len(points)], out=h[1:])
+        self.value = mix((h[self.end] - h[self.start]) * down[self.start])
+        number = kind[self.start] == DIGIT
+        after = np.flatnonzero(number[:-1] & (self.doc[1:] == self.doc[:-1]) & ~number[1:]) + 1
+        unit = np.zeros(len(number), bool)
+        unit[after[np.isin(self.value[after], _units())]] = True
+        name = table["upper"][points[self.start]] & ~number & ~unit
+        name[:1] = False
+        at = np.flatnonzero(name)
+        solid = np.concatenate([[0], np.cumsum(kind != SPACE)])
+        before = self.end[at - 1]
+        name[at[(self.doc[at] != self.doc[at - 1]) | (self.start[at] == before) | (solid[self.start[at]] != solid[before])]] = False
+        self.slot = number | unit | name
+        self.hash = np.where(self.slot, mix(U(1) + number + unit * U(2)), self.value)
+
+    def slots(self, at: int, size: int) -> list[str]:
+        """The values of a window's slots, in order; the template says which kinds they are."""
+        return [self.text[self.start[k] : self.end[k]].lower() for k in range(at, at + size) if self.slot[k]]
+
+
+def _units() -> np.ndarray:
+    if "units" not in _chars:
+        _chars["units"] = np.zeros(0, U)  # while the units themselves become tokens
+        _chars["units"] = np.unique(Tokens(UNITS).value)
+    return _chars["units"]
+
+
+_PLACE = mix(np.arange(1, WINDOW + 1, dtype=U)) | U(1)
 _RAW, _SHORT = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 
 
@@ -87,31 +136,37 @@ def _sums(h: np.ndarray, length: int) -> np.ndarray:
     n = max(0, len(h) - length + 1)
     out = np.zeros(n, U)
     for k in range(length):
-        out += mix(h[k : k + n] ^ _PLACE[k])
+        out += h[k : k + n] * _PLACE[k]
     return out
 
 
-def value_hashes(tokens: list[str], values: list[str], h: np.ndarray) -> np.ndarray:
-    """Hashes of the values: a token that is no slot is its own value."""
-    raw, slots = h.copy(), np.flatnonzero(np.isin(h, _SLOT))
-    raw[slots] = token_hashes([values[k] for k in slots])
-    return raw
-
+def windows(t: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+    """(first tokens, hashes, size, whether of the values) of the windows; a text of fewer tokens is one window as a whole.
 
-def window_hashes(h: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether it is of the values; a shorter template is one window as a whole."""
-    size = min(WINDOW, len(h))
-    if not size:
-        return np.zeros(0, U), np.zeros(0, bool)
-    slots = np.convolve(np.isin(h, _SLOT).astype(np.int64), np.ones(size, np.int64), "valid")
-    verbatim = slots > min(SLOTS, len(h) // 2)
-    out = mix(_sums(h, size) + U(size))
-    return (np.where(verbatim, mix(_sums(raw, size) + _RAW + U(size)), out) if verbatim.any() else out), verbatim
+    Each window is there by its values, and by its template if that has a slot and
+    SLOTS of them at most (half of a shorter text).
+    """
+    many = np.diff(t.first)
+    for size in range(1, WINDOW + 1):
+        if size < WINDOW:
+            at = t.first[:-1][many == size]
+        else:
+            at = np.arange(max(0, len(t.doc) - WINDOW + 1))
+            at = at[t.doc[at] == t.doc[at + WINDOW - 1]] if len(at) else at
+        if not len(at):
+            continue
+        slots = np.concatenate([[0], np.cumsum(t.slot)])
+        slots = slots[at + size] - slots[at]
+        yield at, mix(_sums(t.value, size)[at] + _RAW + U(size)), size, True
+        some = (slots > 0) & (slots <= min(SLOTS, size // 2))
+        yield at[some], mix(_sums(t.hash, size)[at[some]] + U(size)), size, False
 
 
-def short_hashes(raw: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the values of each run of `length` tokens, for items of that length."""
-    return mix(_sums(raw, length) + _SHORT + U(length))
+def runs_of(t: Tokens, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First tokens and hashes of the values of each run of `length` tokens, for items of that length."""
+    at = np.arange(max(0, len(t.doc) - length + 1))
+    at = at[t.doc[at] == t.doc[at + length - 1]] if len(at) else at
+    return at, mix(_sums(t.value, length)[at] + _SHORT + U(length))
 
 
 def _place(h: np.ndarray) -> np.ndarray:
@@ -122,24 +177,16 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[dict] = []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            tokens, values = template(text or "")
-            h = token_hashes(tokens)
-            raw = value_hashes(tokens, values, h)
-            keys = list(window_hashes(h, raw)[0].view(np.int64))
-            if 0 < len(h) < WINDOW:
-                keys += list(short_hashes(raw, len(h)).view(np.int64))
-            for k, key in enumerate(keys):
-                at = k if len(h) >= WINDOW else 0
-                part = slice(at, at + WINDOW)
-                out.append({"window": int(key), "item": item, "at": at, "size": len(tokens), "slots": _slots(tokens[part], values[part])})
+            t = Tokens([text or ""])
+            found = list(windows(t))
+            if 0 < len(t.doc) < WINDOW:
+                found.append((*runs_of(t, len(t.doc)), len(t.doc), True))
+            for at, h, size, _ in found:
+                for k, key in zip(at.tolist(), h.view(np.int64).tolist()):
+                    out.append({"window": key, "item": item, "at": k, "size": len(t.doc), "slots": t.slots(k, size)})
         yield pa.RecordBatch.from_pylist(out, _ITEM)
 
 
-def _slots(tokens: list[str], values: list[str]) -> list[str]:
-    """The values of a window's slots, in order; the template says which kinds they are."""
-    return [v for t, v in zip(tokens, values) if t in (NUMBER, NAME, UNIT)]
-
-
 _ITEM = pa.schema([("window", pa.int64()), ("item", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.string()))])
 _DOC = pa.schema([("uid", pa.int64()), ("window", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("verbatim", pa.bool_()), ("slots", pa.list_(pa.string()))])
 
@@ -152,29 +199,26 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _documents(batches: Iterator[pa.RecordBatch], bits: np.ndarray, short: list[int]) -> Iterator[pa.RecordBatch]:
     """Windows of whole documents that may occur in the benchmark. short: the sizes of its templates below one window."""
-
-    def known(h: np.ndarray) -> np.ndarray:
-        p = _place(h)
-        return np.flatnonzero((bits[p >> 6] >> (p & 63).astype(U)) & U(1))
-
     for batch in batches:
-        out: list[dict] = []
-        for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            tokens, values = template(text or "")
-            if len(tokens) < WINDOW and not short:
-                continue
-            hashed = token_hashes(tokens)
-            raw = value_hashes(tokens, values, hashed)
-            h, verbatim = window_hashes(hashed, raw)
-            for k in known(h):
-                part = slice(k, k + WINDOW)
-                slots = [] if verbatim[k] else _slots(tokens[part], values[part])
-                out.append({"uid": uid, "window": int(h[k : k + 1].view(np.int64)[0]), "pos": int(k), "size": len(tokens), "verbatim": bool(verbatim[k]), "slots": slots})
-            for n in short:
-                h = short_hashes(raw, n)
-                for k in known(h):
-                    out.append({"uid": uid, "window": int(h[k : k + 1].view(np.int64)[0]), "pos": int(k), "size": n, "verbatim": True, "slots": []})
-        yield pa.RecordBatch.from_pylist(out, _DOC)
+        uid, texts = batch.column(0).to_numpy(), batch.column(1)
+        size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        lo = 0
+        while lo < len(uid):
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), RUN, "right")))
+            t = Tokens(texts.slice(lo, hi - lo).fill_null("").to_pylist())
+            own, n = uid[lo:hi], np.diff(t.first)
+            out: list[dict] = []
+            for at, h, length, verbatim, whole in [*((*w, True) for w in windows(t)), *((*runs_of(t, k), k, True, False) for k in short)]:
+                p = _place(h)
+                for i in np.flatnonzero((bits[p >> 6] >> (p & 63).astype(U)) & U(1)):
+                    k = int(at[i])
+                    d = t.doc[k]
+                    out.append({
+                        "uid": own[d], "window": int(h[i : i + 1].view(np.int64)[0]), "pos": k - int(t.first[d]), "size": int(n[d]) if whole else length,
+                        "verbatim": verbatim, "slots": [] if verbatim else t.slots(k, length),
+                    })
+            yield pa.RecordBatch.from_pylist(out, _DOC)
+            lo = hi
 
 
 def longest_run(windows: list[tuple[int, list[str], list[str]]]) -> int:
