@@ -3,7 +3,7 @@
 Each word enters as the sum of two inputs: an embedding of its hash and the mean
 embedding of its hashed character n-grams. A GRU reads each window both ways,
 attention pools the states, and a document's score is that of its highest
-window. The network is trained here in numpy, on a bounded sample of labelled
+window. The network is trained in numpy in a task of its own, on a bounded sample of labelled
 documents, by multiple-instance learning: a toxic document stands for its most
 telling window, a clean one for random windows and those that the current model
 finds worst.
@@ -24,8 +24,10 @@ from pyspark.sql import types as T
 from waygraph.llm.language_id import held_out
 from waygraph.llm.words import TABLE, U, chunks, mix, powers, prefix_hash
 
-#: Labelled documents to learn from, at most about so many of either label (the bound of the training sample).
-TRAIN_ROWS = 1500
+#: The bounds of the training sample: labelled documents, at most about so many of either label, and the bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 1500, 32 << 20
+#: Gradient steps at least, however small the sample.
+LEAST_STEPS = 300
 WINDOW, STRIDE = 24, 16
 HIDDEN, EMBED, ROWS = 8, 8, 1 << 14
 GRAMS = (3, 4)
@@ -216,6 +218,8 @@ def train(texts: list[str], toxic: list[int], epochs: int = 6, seed: int = 7, ba
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items()}
     step = 0
     start = np.searchsorted(words.gram_word, np.arange(len(words.word_row) + 1))
+    batch = min(batch, max(16, len(y) // 8))
+    epochs = max(epochs, -(-LEAST_STEPS * batch // (3 * len(y))))
     for epoch in range(epochs):
         if epoch >= 2:
             rank = window_logits(number, size, project(words, w)[1], w)
@@ -258,16 +262,37 @@ def train(texts: list[str], toxic: list[int], epochs: int = 6, seed: int = 7, ba
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_label: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
-    """Draw the sample by a hash of the id and train on the driver; what comes there is bounded by `per_label`."""
+def _train(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The weights, a row each. Rows come in the order in which they are drawn; texts beyond `most` bytes in all are left out."""
+    texts, toxic, total = [], [], 0
+    for batch in batches:
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+            size = len(text.as_buffer() or b"")
+            if total + size <= most:
+                total += size
+                texts.append(text.as_py())
+                toxic.append(label)
+    w = train(texts, toxic)
+    columns = [pa.array(list(w)), pa.array([list(v.shape) for v in w.values()], pa.list_(pa.int32())), pa.array([v.astype(np.float32).tobytes() for v in w.values()])]
+    yield pa.record_batch(columns, ["name", "shape", "data"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_label: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> dict[str, np.ndarray]:
+    """Draw the sample by a hash of the id and train in one task; only the weights come to the driver.
+
+    The sample is bounded by `per_label` ids of either label, each with the least of its texts, and by `most` bytes.
+    """
     known = labels.where(~held_out(id_col)).where(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, per_label / max(sizes.get(1, 0), 1)).otherwise(per_label / max(sizes.get(0, 0), 1))
     drawn = known.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000)) < share * 1_000_000)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(drawn), "id").select("id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["id"], r["text"]))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = texts.join(F.broadcast(drawn), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = rows.withColumn("turn", F.xxhash64("id")).repartition(1).sortWithinPartitions("turn", "id").select("text", "toxic")
+    weights = rows.mapInArrow(partial(_train, most=most), "name string, shape array<int>, data binary").collect()
+    if not weights:  # no labelled text
+        return train([], [])
+    return {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in weights}
 
 
 def _score(batches: Iterator[pa.RecordBatch], w: dict) -> Iterator[pa.RecordBatch]:
