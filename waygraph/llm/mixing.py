@@ -1,66 +1,66 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Weights become integer shares of a period of PERIOD slots. In it, block k of a
-source with share c is released at slot floor(k PERIOD / c) and due by slot
-ceil((k + 1) PERIOD / c); at each slot the released block with the earliest
-deadline goes next. As the shares fill the period exactly, no deadline is missed
-and at every slot each source has had its target number of blocks to within less
-than one. After a period every source is back at its target exactly, so one
-period (a table of PERIOD rows) serves inputs of any size: block k of a source
-goes to slot `slot[k mod c] + PERIOD (k div c)`.
+A source of weight w (its share of all weights, as an exact fraction) may give its
+block k from slot floor(k / w) on and has to by slot ceil((k + 1) / w); at each slot
+the released block with the earliest deadline goes next. As the weights add up to
+one, no deadline is missed, and at every slot each source has had its target number
+of blocks to within less than one, against the very weights given, however long the
+mix is. A block grows with the corpus, so that the schedule has about SLOTS entries
+at any size and goes to every task; the rows themselves are only numbered and joined.
 """
 
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PERIOD = 4096
-BLOCK_DOCS = 16
-#: The hash buckets into which a source is split to be numbered.
-BUCKETS = 4096
+#: Documents of a block at least, and about how many blocks there are at most.
+BLOCK_DOCS, SLOTS = 16, 1 << 18
+#: Numbering splits each source by three hexadecimal digits of a hash, 4,096 parts.
+DIGITS = 3
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Integer shares of the period: at least 1 each, the rest by largest remainder (ties by name)."""
-    names = sorted(weights)
-    if len(names) > period:
-        raise ValueError(f"{len(names)} sources need a period of that many slots at least")
-    if any(not weights[x] > 0 for x in names):
-        raise ValueError("weights must be above 0")
-    free, total = period - len(names), sum(weights.values())
-    exact = {x: weights[x] / total * free for x in names}
-    out = {x: 1 + int(exact[x]) for x in names}
-    for x in sorted(names, key=lambda x: (int(exact[x]) - exact[x], x))[: period - sum(out.values())]:
-        out[x] += 1
-    return out
-
+def schedule(weights: dict[str, float], blocks: dict[str, int]) -> tuple[list[tuple[str, int]], int]:
+    """(source, block) slot by slot, and the last slot before which no source has run out.
 
-def period_slots(share: dict[str, int], period: int = PERIOD) -> list[tuple[str, int, int]]:
-    """(source, block, slot) over one period, earliest deadline first among the released; ties by name."""
-    waiting = [(0, x, 0) for x in sorted(share)]
+    Ties go by name. What the other sources have left then follows, by the same rule but without gaps.
+    """
+    exact = {x: Fraction(weights[x]) for x in sorted(blocks)}
+    if any(not w > 0 for w in exact.values()):
+        raise ValueError("weights must be above 0")
+    total = sum(exact.values())
+    rate = {x: (w / total).as_integer_ratio() for x, w in exact.items()}
+    waiting = [(0, x, 0) for x in exact if blocks[x] > 0]
     ready: list[tuple[int, str, int]] = []
-    out = []
+    out: list[tuple[str, int]] = []
+    ends = None
     heapq.heapify(waiting)
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
+    while waiting or ready:
+        while waiting and (waiting[0][0] <= len(out) or not ready):
             _, x, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * period // share[x]), x, k))
+            n, d = rate[x]
+            heapq.heappush(ready, (-(-(k + 1) * d // n), x, k))
         due, x, k = heapq.heappop(ready)
-        if due <= slot:
+        if ends is None and due <= len(out):
             raise AssertionError("a deadline was missed")
-        out.append((x, k, slot))
-        if k + 1 < share[x]:
-            heapq.heappush(waiting, ((k + 1) * period // share[x], x, k + 1))
-    return out
+        if k + 1 < blocks[x]:
+            n, d = rate[x]
+            heapq.heappush(waiting, ((k + 1) * d // n, x, k + 1))
+        elif ends is None:
+            ends = len(out)
+        out.append((x, k))
+    return out, ends or 0
 
 
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
-    block_docs: int = BLOCK_DOCS,
+    block_docs: int | None = None,
     id_col: str = "doc_id",
     source_col: str = "source",
     keep: list[str] | None = None,
@@ -69,56 +69,52 @@ def mix_sources(
 
     weights: by source; by default the square root of each source's number of
     rows. A null source is the source ''. Sources that are not in `weights` are
-    an error. Within a source rows go by md5 of the id (nulls first), then by id,
-    in blocks of `block_docs`. Returns the columns `keep` (the id and the source
-    by default) with block, slot and position (unique except between repeated
-    rows' ties, rising in the mix; a shorter last block leaves a gap) and
-    in_mix: whether every source still had blocks at that slot, up to which the
-    deviation bound holds. All rows are kept: what is left of larger sources
-    follows at its own slots. An empty table gives an empty result. The sources
-    and their counts come to the driver (they must number no more than PERIOD),
-    the rows never do: a source is numbered in BUCKETS hash buckets, so even one
-    with a third of all rows is spread over that many groups.
+    an error, weights of sources without rows are ignored. Within a source rows go
+    by md5 of the id, then by id, in blocks of `block_docs` rows (by default
+    BLOCK_DOCS, or more so that there are about SLOTS blocks); a row without an
+    id goes by a hash of its columns of simple types. Returns the columns `keep` (the id and
+    the source by default) with block, slot and position (rising in the mix, and
+    unique; a shorter last block leaves a gap) and in_mix: whether every source
+    still had blocks at that slot, up to which the deviation bound holds. An added
+    column is called mix_<name> where a kept one has its name. All rows are
+    kept, repeated ones too: what is left of larger sources follows. An empty
+    table gives an empty result. The sources and their counts come to the driver
+    (more than SLOTS of them are an error), the rows never do: a source is numbered in 4,096
+    parts, so even one with a third of all rows is spread over that many groups.
     """
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    md5 = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit(""))
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
+    row_hash = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.dataType.typeName() != "variant"])
+    own = F.col(f"`{id_col}`")
     keep = keep or [id_col, source_col]
     rows = docs.select(
-        *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)],
-        source.alias("of"), md5.alias("md5"), F.col(id_col).alias("id"),
-    ).withColumn("bucket", F.substring("md5", 1, 3))
-    counts = rows.groupBy("of", "bucket").agg(F.count("*").alias("n"))
-    sizes = {r["of"]: r["n"] for r in counts.groupBy("of").agg(F.sum("n").alias("n")).collect()}
-    spark = docs.sparkSession
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), source.alias("of"), own.alias("id"), row_hash.alias("hash"),
+        F.md5(F.coalesce(own.cast("string"), row_hash.cast("string")).cast("binary")).alias("md5"),
+    ).withColumn("part", F.substring("md5", 1, DIGITS))
+    counts = rows.groupBy("of", "part").agg(F.count("*").alias("n"))
+    sizes = {r["of"]: r["n"] for r in counts.groupBy("of").agg(F.sum("n").alias("n")).limit(SLOTS + 1).collect()}
+    if len(sizes) > SLOTS:
+        raise ValueError(f"more than {SLOTS} sources")
     if weights is None:
         weights = {x: n**0.5 for x, n in sizes.items()}
     elif missing := sorted(set(sizes) - set(weights)):
         raise ValueError(f"sources without a weight: {missing}")
-    share = shares({x: weights[x] for x in sizes}) if sizes else {}
-    plan = period_slots(share) if share else []
-    slots = spark.createDataFrame([(x, k, s, share[x]) for x, k, s in plan], "of string, turn long, at long, share long")
-    last = {x: -(-n // block_docs) - 1 for x, n in sizes.items()}
-    where = {(x, k): s for x, k, s in plan}
-    ends = min((where[x, last[x] % share[x]] + PERIOD * (last[x] // share[x]) for x in sizes), default=0)
-    before = counts.withColumn(
-        "before", F.coalesce(F.sum("n").over(Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("n")
-    inside = Window.partitionBy("of", "bucket").orderBy("md5", "id")
-    shared = spark.createDataFrame(list(share.items()), "of string, share long")
+    size = block_docs or max(BLOCK_DOCS, -(-sum(sizes.values()) // SLOTS))
+    order, ends = schedule(weights, {x: -(-n // size) for x, n in sizes.items()})
+    of, block = zip(*order) if order else ((), ())
+    plan = pa.table({"of": pa.array(of, pa.string()), "block": pa.array(block, pa.int64()), "slot": pa.array(range(len(order)), pa.int64())})
+    slots = docs.sparkSession.createDataFrame(plan)
+    before = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("of", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("of", "part").orderBy("md5", "id", "hash")
     numbered = (
-        rows.withColumn("row", F.row_number().over(inside))
-        .join(before, ["of", "bucket"])
-        .withColumn("nth", F.col("row") - 1 + F.col("before"))
-        .withColumn("block", F.expr(f"nth div {block_docs}"))
-        .join(F.broadcast(shared), "of")  # PERIOD rows at most
-        .withColumn("turn", F.expr("block % share"))
-        .join(F.broadcast(slots.drop("share")), ["of", "turn"])  # PERIOD rows
+        rows.withColumn("nth", F.row_number().over(inside) - 1)
+        .join(before, ["of", "part"])
+        .select("row", "of", (F.col("nth") + F.col("before")).alias("nth"))
+        .withColumn("block", F.expr(f"nth div {size}"))
+        .join(F.broadcast(slots), ["of", "block"])  # SLOTS rows and one for each source, at most
     )
-    slot = F.col("at") + F.expr(f"{PERIOD} * (block div share)")
+    added = {"block": F.col("block"), "slot": F.col("slot"), "position": F.col("slot") * size + F.col("nth") % size, "in_mix": F.col("slot") <= ends}
     return numbered.select(
-        *[F.col(f"_{k}").alias(c) for k, c in enumerate(keep)],
-        "block",
-        slot.alias("slot"),
-        (slot * block_docs + F.expr(f"nth % {block_docs}")).alias("position"),
-        (slot <= ends).alias("in_mix"),
+        *[F.col(f"row.`{c}`").alias(c) for c in keep],
+        *[x.alias(f"mix_{c}" if c in keep else c) for c, x in added.items()],
     )
