@@ -4,10 +4,11 @@ A text's set of word n-grams is XOR-hashed into a bit sketch: each n-gram flips
 one bit, so the Hamming distance of two sketches never exceeds the symmetric
 difference of the sets. Two sets of sizes a and b with Jaccard >= t differ in at
 most (a + b)(1 - t)/(1 + t) elements. Within a size band whose largest set has
-`top` elements that is d = 2 top (1 - t)/(1 + t); a sketch cut into d + 1 parts
-then has an equal part for every such pair (pigeonhole). Texts meet on the
-digest of (band, part, bits), and every meeting is verified on the sets
-themselves, so no link is lost and none is invented (up to 64-bit collisions).
+`top` elements that is d = 2 top (1 - t)/(1 + t). A sketch cut into d / 2 + 1 groups
+has for every such pair a group with one difference at most (pigeonhole), and of
+the few parts of that group all but one are equal. Texts meet on the digest of
+(band, group, part left out, bits of the others), and every meeting is verified on
+the sets themselves, so no link is lost and none is invented (up to 64-bit collisions).
 
 Exact copies are one vertex from the start: a vertex is a set, named by the
 64-bit hash of its elements, so thousands of copies cost one sketch.
@@ -20,7 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waygraph.llm.links import bucket_components
@@ -28,6 +29,8 @@ from waygraph.llm.words import U, chunks, flat, mix, shingle_sets
 from waygraph.loop import materialise, release
 
 PART_BITS = 256
+#: Bits of the filter of texts that are compared: 2 MB are broadcast, however many texts there are.
+FILTER_BITS = 1 << 23
 #: A band's largest size over its smallest; 1.45 gives the fewest sketch parts in all.
 BAND = 1.45
 
@@ -42,6 +45,11 @@ def _bands(most: int) -> np.ndarray:
 BANDS = _bands(1 << 40)
 
 
+def _parts(percent: int) -> int:
+    """Parts of a group: with more of them a key holds more of the group, which is smaller at a lower similarity, and there are more keys."""
+    return 3 if percent >= 88 else 4
+
+
 def set_name(s: np.ndarray) -> int:
     return int(mix(np.array([np.bitwise_xor.reduce(mix(s ^ U(0x51ED270B))) + U(len(s))], U)).view(np.int64)[0])
 
@@ -52,23 +60,27 @@ def _set(text: bytes, n: int) -> np.ndarray:
 
 
 def sketch_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """The bucket keys of a set: for each band in which it may meet a partner, one key for each part of its sketch."""
+    """The bucket keys of a set: for each band in which it may meet a partner, one for each group of its sketch and part left out."""
     n = len(s)
     lo = int(np.searchsorted(BANDS, n, "right")) - 1
     hi = int(np.searchsorted(BANDS, n * 100 // percent, "right")) - 1
     keys = []
     for band in range(lo, hi + 1):
         top = int(BANDS[band + 1]) - 1
-        parts = 2 * top * (100 - percent) // (100 + percent) + 1
+        apart = 2 * top * (100 - percent) // (100 + percent)
+        groups, parts = apart // 2 + 1, _parts(percent) if apart else 1
         h = mix(s ^ U(band * 0x9E3779B1 + 1))
-        part = ((h >> U(8)) % U(parts)).astype(np.int32)
+        part = ((h >> U(8)) % U(groups * parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         part = part[order]
         bit = mix(((h[order] & U(PART_BITS - 1)) << U(32)) ^ part.astype(U) ^ U(0xABCD))
         start = np.flatnonzero(np.diff(part, prepend=-1))
-        digest = np.zeros(parts, U)
+        digest = np.zeros(groups * parts, U)
         digest[part[start]] = np.bitwise_xor.reduceat(bit, start)
-        keys.append(mix(digest ^ mix(np.arange(parts, dtype=U) + (U(band + 1) << U(40)))))
+        if apart:  # a group without one of its parts
+            digest = digest.reshape(groups, parts)
+            digest = (np.bitwise_xor.reduce(digest, axis=1)[:, None] ^ digest).ravel()
+        keys.append(mix(digest ^ mix(np.arange(len(digest), dtype=U) + (U(band + 1) << U(40)))))
     return np.concatenate(keys).view(np.int64)
 
 
@@ -97,8 +109,8 @@ def _features(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
                     seen.clear()
                 seen.add(name)
         yield pa.record_batch(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.binary())],
-            ["id", "n", "node", "bits", "small"],
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.binary())],
+            ["id", "uid", "n", "node", "bits", "small"],
         )
 
 
@@ -199,31 +211,53 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterat
         yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
-def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _filter_place() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+
+
+def _bit_filter(ids: DataFrame) -> DataFrame:
+    """(word, bits): a filter of the ids, of FILTER_BITS / 64 rows at most."""
+    bits = ids.select(_filter_place().alias("p")).selectExpr("p div 64 AS word", "shiftleft(1L, cast(p % 64 AS int)) AS bit")
+    return bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def similarity_groups(
+    docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", named: bool = False
+) -> DataFrame:
     """Group texts whose sets of n-word shingles have a Jaccard similarity of `percent` % or more, transitively.
 
     Words are runs without ASCII white space with A-Z lowered. A text of fewer
     than n words is one shingle. Returns `(id_col, n_shingles, component_id)`,
-    one row for each input row, component_id the smallest id reachable. Null and
+    one row for each input row, component_id the smallest id reachable; `named`
+    adds uid, xxhash64 of id and text, and class, the group's own name (null
+    for a text without words). Null and
     empty texts have n_shingles 0 and stand alone; a row whose id is
     null groups with its exact copies only; repeated rows are copies; other columns are
     ignored, whatever their names. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    features = materialise(rows.mapInArrow(partial(_features, n=n), "id long, n long, node long, bits binary, small binary"), "features")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    features = rows.select("id", "text", F.xxhash64("id", "text").alias("uid"))
+    features = materialise(features.mapInArrow(partial(_features, n=n), "id long, uid long, n long, node long, bits binary, small binary"), "features")
     classes = features.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("small").alias("small"))
     classes = materialise(classes, "classes")
     members = rows.select("text").mapInArrow(partial(_sketches, n=n, percent=percent), "key long, node long")
 
     def verify(pairs: DataFrame) -> DataFrame:
         own = lambda c: classes.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_id"), F.col("n").alias(f"{c}_n"), F.col("small").alias(f"{c}_small"))
-        text = lambda c: rows.where("id IS NOT NULL").select(F.col("id").alias(f"{c}_id"), F.col("text").alias(f"{c}_text"))
         sized = pairs.join(own("a"), "a").join(own("b"), "b").where(
             f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
         )
         sized = sized.where("a_id IS NOT NULL AND b_id IS NOT NULL").mapInArrow(partial(_possible, percent=percent), "a long, b long, a_id long, b_id long")
         sized = materialise(sized, "pairs")
         release(pairs, shuffles=True)
+        # only texts of pairs are exchanged
+        bits = materialise(_bit_filter(sized.select(F.explode(F.array("a_id", "b_id")).alias("id"))), "bits")
+        texts = (
+            rows.where("id IS NOT NULL").withColumn("p", _filter_place()).withColumn("word", F.expr("p div 64"))
+            .join(F.broadcast(bits), "word")  # FILTER_BITS / 64 rows at most
+            .where("shiftright(bits, cast(p % 64 AS int)) & 1L = 1L")
+        )
+        text = lambda c: texts.select(F.col("id").alias(f"{c}_id"), F.col("text").alias(f"{c}_text"))
         return (
             sized.join(text("b"), "b_id")
             .join(text("a"), "a_id")
@@ -259,8 +293,8 @@ def similarity_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: st
     labels = bucket_components(members, verify, across, rounds=3).withColumnRenamed("id", "node")
     linked = classes.join(labels, "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    found = linked.join(least, "component").select("node", "least")
-    whole = classes.join(found, "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
+    found = linked.join(least, "component").select("node", "component", "least")
+    whole = classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("class"), F.coalesce("least", "rep").alias("least"))
     return features.drop("bits", "small").join(whole, "node", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), *(["uid", "class"] if named else [])
     )
