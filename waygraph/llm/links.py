@@ -52,6 +52,12 @@ def bucket_components(
             .distinct(),
             "inside",
         )
+        # buckets of the same nodes (of several bands) are looked at once
+        alike = inside.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)) % F.lit(2**40)).alias("y"))
+        once = materialise(alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "once")
+        every, inside = inside, materialise(inside.join(once, "key", "left_semi"), "inside")
+        release(every)
+        release(once)
         release(keys, shuffles=True)
         more = materialise(across(inside, turn == rounds - 1).select("a", "b").distinct(), "links")
         release(inside, shuffles=True)
