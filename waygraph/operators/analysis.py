@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waygraph.functions.order import running_total
 from waygraph.loop import connected_components, materialise, release
 from waygraph.operators.paths import _loop, cheapest
 from waygraph.tables import Graph
@@ -114,20 +115,22 @@ def _low_high(graph: Graph) -> tuple[DataFrame, DataFrame]:
     """Each node's preorder number, subtree size, and the least and greatest preorder that its subtree touches beside tree edges."""
     tree, pairs = _rooted_forest(graph)
     deepest = tree.agg(F.max("depth").alias("d")).first()["d"] or 0
-    size = materialise(tree.where(F.col("depth") == deepest).select("id", F.lit(1).cast("long").alias("size")), "size")
-    for level in range(deepest - 1, -1, -1):  # children before parents
-        child = tree.where(F.col("depth") == level + 1).join(size, "id").groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("below"))
+    last = size = materialise(tree.where(F.col("depth") == deepest).select("id", F.lit(1).cast("long").alias("size")), "size")
+    for level in range(deepest - 1, -1, -1):  # children before parents; a level reads the one below it only
+        child = tree.where(F.col("depth") == level + 1).join(last, "id").groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("below"))
         here = tree.where(F.col("depth") == level).join(child, "id", "left").select("id", (1 + F.coalesce("below", F.lit(0))).alias("size"))
-        size = materialise(size.unionAll(here), "size")
+        last = materialise(here, "size")
+        size = size.unionAll(last)
     sized = materialise(tree.join(size, "id"), "sized")
     brothers = Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    roots = sized.where("parent IS NULL").withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    pre = materialise(roots.select("id", F.col("before").alias("pre")), "pre")
+    roots = running_total(sized.where("parent IS NULL"), "id", F.col("size"))
+    last = pre = materialise(roots.select("id", F.col("before").alias("pre")), "pre")
     within = sized.where("parent IS NOT NULL").withColumn("before", F.coalesce(F.sum("size").over(brothers), F.lit(0)))
     within = materialise(within, "within")
     for level in range(1, deepest + 1):
-        here = within.where(F.col("depth") == level).join(pre.select(F.col("id").alias("parent"), F.col("pre").alias("p")), "parent")
-        pre = materialise(pre.unionAll(here.select("id", (F.col("p") + 1 + F.col("before")).alias("pre"))), "pre")
+        here = within.where(F.col("depth") == level).join(last.select(F.col("id").alias("parent"), F.col("pre").alias("p")), "parent")
+        last = materialise(here.select("id", (F.col("p") + 1 + F.col("before")).alias("pre")), "pre")
+        pre = pre.unionAll(last)
     nodes = materialise(sized.join(pre, "id"), "nodes")
     number = lambda c: nodes.select(F.col("id").alias(c), F.col("pre").alias(f"p{c}"), F.col("parent").alias(f"up{c}"))
     other = pairs.join(number("u"), "u").join(number("v"), "v").where("NOT (upu <=> v) AND NOT (upv <=> u)")
@@ -135,11 +138,12 @@ def _low_high(graph: Graph) -> tuple[DataFrame, DataFrame]:
     touch = other.select(F.col("u").alias("id"), F.col("pv").alias("t")).unionAll(other.select(F.col("v").alias("id"), F.col("pu").alias("t")))
     own = nodes.join(touch.groupBy("id").agg(F.min("t").alias("lo"), F.max("t").alias("hi")), "id", "left")
     own = materialise(own.select("id", "parent", "depth", "pre", "size", F.least("pre", "lo").alias("low"), F.greatest("pre", "hi").alias("high")), "own")
-    done = materialise(own.where(F.col("depth") == deepest), "low")
+    last = done = materialise(own.where(F.col("depth") == deepest), "low")
     for level in range(deepest - 1, -1, -1):
-        below = done.where(F.col("depth") == level + 1).groupBy(F.col("parent").alias("id")).agg(F.min("low").alias("l"), F.max("high").alias("h"))
+        below = last.groupBy(F.col("parent").alias("id")).agg(F.min("low").alias("l"), F.max("high").alias("h"))
         here = own.where(F.col("depth") == level).join(below, "id", "left")
-        done = materialise(done.unionByName(here.select("id", "parent", "depth", "pre", "size", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high"))), "low")
+        last = materialise(here.select("id", "parent", "depth", "pre", "size", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high")), "low")
+        done = done.unionByName(last)
     return done, other
 
 
@@ -319,3 +323,13 @@ def min_cut(graph: Graph, source: int, sink: int) -> DataFrame:
     side, _ = _loop(residual.where("c > 1e-12").select("src", "dst"), start, F.col("d"), 1_000_000)
     side = materialise(side.select("id"), "side")
     return graph.edges.join(side.select(F.col("id").alias("src")), "src", "left_semi").join(side.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst", "w")
+
+
+def top(report: DataFrame, by: str, ties: list[str], n: int = 10) -> DataFrame:
+    """The n rows with the largest `by`; ties in the order of the other columns."""
+    return report.orderBy(F.desc(by), *ties).limit(n)
+
+
+def upper_median(rows: DataFrame, keys: list[str], of: str) -> DataFrame:
+    """(keys, median): the middle value of each group, of an even number the upper one. Nulls don't count."""
+    return rows.groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{of}` DESC)").alias("median"))

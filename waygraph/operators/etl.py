@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waygraph.functions.geo import haversine
+from waygraph.functions.geo import EARTH_RADIUS, haversine
+from waygraph.functions.order import running_total
 
 
-def road_edges(ways: DataFrame, places: DataFrame) -> DataFrame:
-    """Least metres (u, v, w) between junctions.
+def junctions(ways: DataFrame) -> DataFrame:
+    """(id) of nodes that end a way or are used more than once, in one way or several; ways(way_id, nodes array)."""
+    steps = ways.select(F.posexplode("nodes").alias("pos", "id"), (F.size("nodes") - 1).alias("last"))
+    ends = ((F.col("pos") == 0) | (F.col("pos") == F.col("last"))).cast("int")
+    return steps.groupBy("id").agg(F.count("*").alias("uses"), F.max(ends).alias("ends")).where("uses > 1 OR ends = 1").select("id")
+
+
+def road_edges(ways: DataFrame, places: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """Least metres (u, v, w) between junctions and the nodes of keep(id).
 
     ways(way_id, nodes array, oneway, junction), places(id, lat, lon). A node is a
     junction if it ends a way or is used more than once, in one way or several.
@@ -20,8 +28,10 @@ def road_edges(ways: DataFrame, places: DataFrame) -> DataFrame:
     steps = ways.select("way_id", "oneway", "junction", F.posexplode("nodes").alias("pos", "id"), (F.size("nodes") - 1).alias("last"))
     uses = steps.groupBy("id").agg(F.count("*").alias("uses"))
     steps = steps.join(uses, "id").join(places, "id")
+    if keep is not None:
+        steps = steps.join(keep.select("id", F.lit(True).alias("kept")).distinct(), "id", "left")
     order = Window.partitionBy("way_id").orderBy("pos")
-    cut = ((F.col("pos") == 0) | (F.col("pos") == F.col("last")) | (F.col("uses") > 1)).cast("int")
+    cut = ((F.col("pos") == 0) | (F.col("pos") == F.col("last")) | (F.col("uses") > 1) | (F.lit(False) if keep is None else F.coalesce("kept", F.lit(False)))).cast("int")
     leg = haversine(F.lag("lat").over(order), F.lag("lon").over(order), F.col("lat"), F.col("lon"))
     steps = steps.withColumns({"cut": cut, "leg": F.coalesce(leg, F.lit(0.0))})
     # a segment is what lies after one junction up to and with the next
@@ -39,12 +49,8 @@ def road_edges(ways: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def dense_ids(nodes: DataFrame) -> DataFrame:
-    """(id, dense): 0 and up in the order of ids, by counts of id ranges and the place within one."""
-    coarse = nodes.select("id").distinct().withColumn("range", F.shiftright("id", 16))
-    sizes = coarse.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1 + F.col("before")
-    return coarse.join(before.select("range", "before"), "range").select("id", place.alias("dense"))
+    """(id, dense): 0 and up in the order of ids."""
+    return running_total(nodes.select("id").distinct(), "id", F.lit(1), "dense").select("id", "dense")
 
 
 def normal_name(name: Column) -> Column:
@@ -70,26 +76,29 @@ def station_links(routes: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def merge_platforms(stations: DataFrame, metres: float = 400.0) -> DataFrame:
-    """(id, canonical): stations of a city with one normal name within `metres` of a cluster's first are one.
+    """(id, canonical, lat, lon): stations of a city with one normal name within `metres` of a cluster's first are one.
 
-    Clusters are met in the order of ids, each station joining the first whose
-    head is near enough; a group is the platforms of one name in one city.
+    In the order of ids a station joins the first cluster whose head is near
+    enough; the canonical id is the head's, lat and lon the cluster's centre. A
+    group is the platforms of one name in one city.
     """
-    import math
+    import numpy as np
 
     def clusters(pdf):
         pdf = pdf.sort_values("id")
-        heads, out = [], []
-        for i, lat, lon in zip(pdf["id"], pdf["lat"], pdf["lon"]):
-            for h, a, b in heads:
-                x = math.sin(math.radians(lat - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(lat)) * math.sin(math.radians(lon - b) / 2) ** 2
-                if 2 * 6_371_008.8 * math.asin(math.sqrt(min(1.0, x))) <= metres:
-                    out.append(h)
-                    break
-            else:
-                heads.append((i, lat, lon))
-                out.append(i)
-        return pdf.assign(canonical=out)[["id", "canonical"]]
+        ids, lat, lon = pdf["id"].to_numpy(), np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
+        out = np.zeros(len(ids), np.int64)
+        left = np.arange(len(ids))
+        while len(left):  # the first that is left is a head, and takes what is near
+            h = left[0]
+            x = np.sin((lat[left] - lat[h]) / 2) ** 2 + np.cos(lat[h]) * np.cos(lat[left]) * np.sin((lon[left] - lon[h]) / 2) ** 2
+            near = 2 * EARTH_RADIUS * np.arcsin(np.sqrt(np.minimum(1.0, x))) <= metres
+            near[0] = True
+            out[left[near]] = ids[h]
+            left = left[~near]
+        return pdf.assign(canonical=out)[["id", "canonical", "lat", "lon"]]
 
     named = stations.select("id", "lat", "lon", "city", normal_name(F.col("name")).alias("name"))
-    return named.groupBy("city", "name").applyInPandas(clusters, "id long, canonical long")
+    found = named.groupBy("city", "name").applyInPandas(clusters, "id long, canonical long, lat double, lon double")
+    of = found.groupBy("canonical").agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
+    return found.join(of, "canonical").select("id", "canonical", F.col("clat").alias("lat"), F.col("clon").alias("lon"))

@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waygraph.functions.order import running_total
 from waygraph.loop import materialise
-from waygraph.operators import paths
+from waygraph.operators import index, paths
+from waygraph.operators.analysis import strong_components
 from waygraph.tables import Graph
 
 Run = Callable[[Graph, DataFrame], DataFrame | None]
@@ -41,18 +43,37 @@ def _from_sources(search):
     return run
 
 
+def _from_table(search):
+    def run(graph: Graph, pairs: DataFrame) -> DataFrame | None:
+        found = search(graph)
+        return None if found is None else pairs.join(found, ["src", "dst"], "left").select("qid", "cost")
+
+    return run
+
+
 register("dijkstra", paths.pair_costs)
 register("astar", lambda g, p: paths.pair_costs(g, p, goal_directed=True), needs_places=True)
 register("bidijkstra", paths.bidirectional_costs)
 register("dial", _from_sources(paths.dial))
 register("bellmanford", _from_sources(lambda g, s: (lambda r: r[0] if r[1] else None)(paths.bellman_ford(g, s))), negative=True)
 register("johnson", _from_sources(paths.johnson), negative=True)
+register("floydwarshall", _from_table(paths.all_pairs), negative=True)
+register("bfs", paths.fewest_hops, optimal=False)
+register("alt", lambda g, p: index.Landmarks.build(g, 4).pair_costs(p))
+register("ch", lambda g, p: index.Contraction.build(g).pair_costs(p))
+register("cch", lambda g, p: index.Hierarchy.build(g).customise().pair_costs(p))
 
 
 def algorithms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a.key, a.optimal, a.negative, a.needs_places) for a in REGISTRY.values()], "key string, optimal boolean, negative boolean, needs_places boolean")
 
 
+def route(graph: Graph, pairs: DataFrame, key: str = "dijkstra", closures: DataFrame | None = None) -> DataFrame | None:
+    """(qid, cost) of pairs(qid, src, dst) by a registered algorithm on the roads that closures(u, v) leave open; None where it declines."""
+    open_ = graph if closures is None else graph.close(closures)
+    return None if REGISTRY[key].needs_places and graph.space is None else REGISTRY[key].run(open_, pairs)
+
+
 def race(graph: Graph, pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(algorithm, qid, cost, verdict): optimal (within 1e-6 of the best that claims to be), suboptimal, no path, or declined."""
     out = None
@@ -68,6 +89,27 @@ def race(graph: Graph, pairs: DataFrame, keys: list[str] | None = None) -> DataF
     return out.join(best, "qid").select("algorithm", "qid", "cost", verdict.alias("verdict"))
 
 
+def default_endpoints(graph: Graph) -> DataFrame:
+    """(src, dst): the nodes at 15 % and 85 % of the largest strong component, by ids; of equal ones that with the smallest id."""
+    of = materialise(strong_components(graph), "scc")
+    largest = of.groupBy("component").agg(F.count("*").alias("n")).agg(F.min(F.struct(-F.col("n"), "component")).alias("l")).select("l.component")
+    inside = running_total(of.join(largest, "component", "left_semi").select("id"), "id", F.lit(1), "k")
+    many = inside.agg(F.count("*").alias("n"))
+    at = lambda share: F.max(F.when(F.col("k") == F.floor(F.col("n") * share), F.col("id")))
+    return inside.crossJoin(F.broadcast(many)).agg(at(0.15).alias("src"), at(0.85).alias("dst"))  # one row
+
+
+def auto_cutoffs(routes: DataFrame) -> DataFrame:
+    """(qid, cutoff): a quarter, six tenths and the whole of each route's cost."""
+    return routes.where("cost IS NOT NULL").select("qid", F.explode(F.array(*[F.col("cost") * share for share in (0.25, 0.6, 1.0)])).alias("cutoff"))
+
+
+def mid_route(paths_: DataFrame) -> DataFrame:
+    """(qid, u, v): the middle road of each path(qid, path), to be closed."""
+    mid = F.expr("size(path) div 2").cast("int")
+    return paths_.where("size(path) >= 2").select("qid", F.get("path", mid - 1).alias("u"), F.get("path", mid).alias("v"))
+
+
 def verify(graph: Graph, samples: int = 50, seed: int = 12345, keys: list[str] | None = None) -> DataFrame:
     """(algorithm, pairs, mismatches) over pairs of nodes drawn by a hash; costs must agree to 1e-6, relatively."""
     drawn = lambda part: graph.nodes.select("id").orderBy(F.xxhash64("id", F.lit(seed), F.lit(part))).limit(samples)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.loop import materialise
+from waygraph.loop import materialise, release
 from waygraph.operators.analysis import strong_components
 from waygraph.operators.paths import _loop, cheapest, costs
 from waygraph.tables import Graph
@@ -67,6 +68,85 @@ class Landmarks:
         return pairs.select("qid").join(found.select("qid", F.col("d").alias("cost")), "qid", "left")
 
 
+def _meeting_costs(ahead: DataFrame, back: DataFrame, pairs: DataFrame, max_rounds: int) -> DataFrame:
+    """(qid, cost): both ends climb over arcs(src, dst, w), back's turned round, and the cheapest meeting counts."""
+
+    def climb(up: DataFrame, end: str, name: str) -> DataFrame:
+        start = pairs.select("qid", F.col(end).alias("id"), F.lit(0.0).alias("d"))
+        return _loop(up, start, F.col("d") + F.col("w"), max_rounds)[0].withColumnRenamed("d", name)
+
+    met = climb(ahead, "src", "a").join(climb(back, "dst", "b"), ["qid", "id"])
+    best = met.groupBy("qid").agg(F.min(F.col("a") + F.col("b")).alias("cost"))
+    return pairs.select("qid").join(best, "qid", "left")
+
+
+@dataclass(frozen=True)
+class Contraction:
+    """A contraction hierarchy with witness search: ahead(src, dst, w) climbs from sources, back(src, dst, w) from targets.
+
+    Nodes that are left when building stops are the core: its arcs are in both, so that answers stay exact.
+    """
+
+    ahead: DataFrame
+    back: DataFrame
+    core: int
+
+    @classmethod
+    def build(cls, graph: Graph, max_rounds: int = 60, growth: float = 1.5) -> Contraction:
+        """Each round contracts the nodes with the least (priority, hash, id) among their neighbours.
+
+        The priority is the shortcuts that a node may need less the arcs that go,
+        plus its contracted neighbours. A pair of neighbours gets a shortcut
+        unless a way of one or two arcs that avoids all nodes of the round is as
+        short; a witness that is not seen only adds a shortcut. Building stops
+        after `max_rounds`, or when a round would make arcs `growth` times as many.
+        """
+        spark = graph.nodes.sparkSession
+        arcs = materialise(cheapest(graph).where("src <> dst"), "contract")
+        near = spark.createDataFrame([], "id long, near long")
+        ahead, back = [], []
+        for _ in range(max_rounds):
+            many = arcs.count()
+            if not many:
+                break
+            ends = arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out")).join(arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in")), "id", "full")
+            priority = F.coalesce(F.col("in") * F.col("out") - F.col("in") - F.col("out"), F.lit(-1)) + F.coalesce("near", F.lit(0))
+            rank = ends.join(near, "id", "left").select("id", F.struct(priority.alias("p"), F.xxhash64("id").alias("h"), "id").alias("rank"))
+            rank = materialise(rank, "rank")
+            both = arcs.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionAll(arcs.select(F.col("dst").alias("id"), F.col("src").alias("other"))).distinct()
+            least = both.join(rank.select(F.col("id").alias("other"), F.col("rank").alias("theirs")), "other").groupBy("id").agg(F.min("theirs").alias("theirs"))
+            picked = materialise(rank.join(least, "id").where(F.col("rank") < F.col("theirs")).select("id"), "picked")
+            out = materialise(arcs.join(picked.withColumnRenamed("id", "src"), "src").select("src", "dst", "w"), "up")
+            into = materialise(arcs.join(picked.withColumnRenamed("id", "dst"), "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), "up")
+            rest = materialise(arcs.join(picked.withColumnRenamed("id", "src"), "src", "left_anti").join(picked.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "w"), "rest")
+            via = into.alias("a").join(out.alias("b"), "src").where("a.dst <> b.dst").groupBy(F.col("a.dst").alias("u"), F.col("b.dst").alias("v")).agg(F.min(F.col("a.w") + F.col("b.w")).alias("c"))
+            via = materialise(via, "via")
+            one = via.join(rest.toDF("u", "v", "w"), ["u", "v"]).where("w <= c").select("u", "v")
+            two = via.join(rest.toDF("u", "x", "w1"), "u").join(rest.toDF("x", "v", "w2"), ["x", "v"]).where("w1 + w2 <= c").select("u", "v")
+            short = via.join(one.unionAll(two).distinct(), ["u", "v"], "left_anti").select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("c").alias("w"))
+            left = materialise(rest.unionByName(short).groupBy("src", "dst").agg(F.min("w").alias("w")), "contract")
+            release(via)
+            release(rest)
+            if left.count() > growth * many:
+                release(left)
+                break
+            ahead.append(out)
+            back.append(into)
+            touched = both.join(picked, "id").groupBy(F.col("other").alias("id")).agg(F.count("*").alias("near"))
+            near = materialise(near.unionByName(touched).groupBy("id").agg(F.sum("near").alias("near")).join(picked, "id", "left_anti"), "near")
+            release(arcs)
+            release(rank)
+            arcs = left
+        whole = lambda parts, core: reduce(DataFrame.unionByName, parts, core)
+        turned = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+        core = arcs.select("src").unionAll(arcs.select("dst")).distinct().count()
+        return cls(whole(ahead, arcs), whole(back, turned), core)
+
+    def pair_costs(self, pairs: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+        """(qid, cost) of pairs(qid, src, dst)."""
+        return _meeting_costs(self.ahead, self.back, pairs, max_rounds)
+
+
 @dataclass(frozen=True)
 class Hierarchy:
     """An elimination order in rounds with its fill-in: levels(id, level) and arcs(lo, hi, level), hi eliminated later.
@@ -98,12 +178,13 @@ class Hierarchy:
             up = materialise(both.join(picked, "id").select(F.col("id").alias("lo"), F.col("other").alias("hi"), F.lit(turn).alias("level")), "up")
             fill = up.alias("a").join(up.alias("b"), "lo").where("a.hi < b.hi").select(F.col("a.hi").alias("u"), F.col("b.hi").alias("v"))
             rest = pairs.join(picked.withColumnRenamed("id", "u"), "u", "left_anti").join(picked.withColumnRenamed("id", "v"), "v", "left_anti")
-            arcs = up if arcs is None else materialise(arcs.unionAll(up), "arcs")
-            levels = materialise(levels.unionAll(picked.withColumn("level", F.lit(turn))), "levels")
+            arcs = up if arcs is None else arcs.unionAll(up)
+            levels = levels.unionAll(picked.withColumn("level", F.lit(turn)))
             last = both.join(picked, "id").select(F.col("other").alias("id")).distinct()
             pairs = materialise(rest.select("u", "v").unionAll(fill).distinct(), "left")
             gone = last.join(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct(), "id", "left_anti")
-            levels = materialise(levels.unionAll(gone.withColumn("level", F.lit(turn + 1))), "levels")
+            levels = levels.unionAll(materialise(gone.withColumn("level", F.lit(turn + 1)), "levels"))
+            release(rank)
         raise RuntimeError("the elimination did not end")
 
     def customise(self, weights: DataFrame | None = None) -> Weighted:
@@ -131,12 +212,5 @@ class Weighted:
     def pair_costs(self, pairs: DataFrame, max_rounds: int = 100_000) -> DataFrame:
         """(qid, cost) of pairs(qid, src, dst): both ends climb, and the cheapest meeting counts."""
 
-        def climb(end: str, column: str, name: str) -> DataFrame:
-            up = self.arcs.where(F.col(column).isNotNull()).select(F.col("lo").alias("src"), F.col("hi").alias("dst"), F.col(column).alias("w"))
-            start = pairs.select("qid", F.col(end).alias("id"), F.lit(0.0).alias("d"))
-            labels, _ = _loop(up, start, F.col("d") + F.col("w"), max_rounds)
-            return labels.withColumnRenamed("d", name)
-
-        met = climb("src", "fwd", "a").join(climb("dst", "bwd", "b"), ["qid", "id"])
-        best = met.groupBy("qid").agg(F.min(F.col("a") + F.col("b")).alias("cost"))
-        return pairs.select("qid").join(best, "qid", "left")
+        up = lambda c: self.arcs.where(F.col(c).isNotNull()).select(F.col("lo").alias("src"), F.col("hi").alias("dst"), F.col(c).alias("w"))
+        return _meeting_costs(up("fwd"), up("bwd"), pairs, max_rounds)

@@ -1,8 +1,8 @@
 """Shortest paths as level-synchronous DataFrame loops over batches of queries.
 
 State is one table (qid, id, d) written to the shared folder after each round;
-a round joins the nodes that improved with the edges and keeps the minima, which
-combine before the shuffle. Many queries share the rounds: their rows differ in
+a round joins the nodes that improved with the edges, which stay dealt by their
+source, and keeps the minima, which combine before the shuffle. Many queries share the rounds: their rows differ in
 qid only. Rounds number as many as the longest shortest path has hops.
 """
 
@@ -17,7 +17,8 @@ from waygraph.functions.geo import straight_line
 from waygraph.loop import materialise, release
 from waygraph.tables import Graph
 
-Step = Callable[[Column, Column], Column]
+#: Hops that a round takes at once while not more than SMALL labels wait: short fronts cost jobs, not work.
+AHEAD, SMALL = 3, 20_000
 
 
 def _loop(
@@ -29,26 +30,38 @@ def _loop(
     keys: tuple[str, ...] = ("qid", "id"),
 ) -> tuple[DataFrame, bool]:
     """Label-correcting loop. step: the new label from `d` and the edge's columns. Returns the labels, and whether they settled."""
+    edges = edges.repartition("src").persist()  # dealt once; what a lost executor held is made again
+    others = [k for k in keys if k != "id"]
+
+    def relaxed(front: DataFrame) -> DataFrame:
+        reached = front.join(edges, F.col("id") == F.col("src")).select(*others, F.col("dst").alias("id"), step.alias("d"))
+        return reached.groupBy(*keys).agg(F.min("d").alias("d"))
+
     state = materialise(start.select(*keys, "d").groupBy(*keys).agg(F.min("d").alias("d")).withColumn("new", F.lit(True)), "labels")
-    for _ in range(max_rounds):
+    waiting, done = 0, 0
+    while done < max_rounds:
         front = state.where("new").drop("new")
         if bound is not None:
             front = bound(front, state)
-        others = [k for k in keys if k != "id"]
-        reached = front.join(edges, F.col("id") == F.col("src")).select(*others, F.col("dst").alias("id"), step.alias("d"))
+        found = [relaxed(front)]
+        while len(found) < AHEAD and waiting <= SMALL and done + len(found) < max_rounds:
+            found.append(relaxed(found[-1]))
+        merged = state.select(*keys, "d", F.col("d").alias("old"))
+        for reached in found:
+            merged = merged.unionByName(reached.withColumn("old", F.lit(None).cast("double")))
         merged = (
-            state.select(*keys, "d", F.col("d").alias("old"))
-            .unionByName(reached.withColumn("old", F.lit(None).cast("double")))
-            .groupBy(*keys)
+            merged.groupBy(*keys)
             .agg(F.min("d").alias("d"), F.min("old").alias("old"))
             .select(*keys, "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("new"))
         )
         after = materialise(merged, "labels")
         release(state)
-        state = after
-        if state.where("new").isEmpty():
-            return state.drop("new"), True
-    return state.drop("new"), False
+        state, done = after, done + len(found)
+        waiting = state.where("new").count()
+        if not waiting:
+            break
+    edges.unpersist()
+    return state.drop("new"), not waiting
 
 
 def hops(graph: Graph, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -57,6 +70,19 @@ def hops(graph: Graph, sources: DataFrame, max_rounds: int = 10_000) -> DataFram
     return labels.select("qid", "id", F.col("d").cast("int").alias("hops"))
 
 
+def fewest_hops(graph: Graph, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(qid, cost) of pairs(qid, src, dst): the cheapest of the paths with the fewest arcs; null without a path."""
+    sources = pairs.select("qid", F.col("src").alias("id"))
+    h = materialise(hops(graph, sources, max_rounds), "hops")
+    a = h.select("qid", F.col("id").alias("src"), F.col("hops").alias("hs"))
+    b = h.select("qid", F.col("id").alias("dst"), F.col("hops").alias("hd"))
+    down = a.join(cheapest(graph), "src").join(b, ["qid", "dst"]).where("hd = hs + 1").select(F.struct("qid", F.col("src").alias("id")).alias("src"), F.struct("qid", F.col("dst").alias("id")).alias("dst"), "w")
+    start = sources.select(F.struct("qid", "id").alias("id"), F.lit(0.0).alias("d"))
+    labels, _ = _loop(down, start, F.col("d") + F.col("w"), max_rounds, keys=("id",))
+    found = labels.select(F.col("id.qid").alias("qid"), F.col("id.id").alias("dst"), F.col("d").alias("cost"))
+    return pairs.select("qid", "dst").join(found, ["qid", "dst"], "left").select("qid", "cost")
+
+
 def costs(graph: Graph, sources: DataFrame, max_cost: float | None = None, max_rounds: int = 10_000) -> DataFrame:
     """Least costs over non-negative weights from sources(qid, id): (qid, id, cost). Labels above max_cost are dropped."""
     edges = cheapest(graph)
@@ -103,7 +129,7 @@ def bidirectional_costs(graph: Graph, pairs: DataFrame, max_rounds: int = 10_000
     """(qid, cost) by two label sets that grow towards one another; a side stops where it can't beat the best meeting."""
     ahead = cheapest(graph).withColumn("side", F.lit(0))
     back = cheapest(graph.reverse()).withColumn("side", F.lit(1))
-    edges = ahead.unionByName(back).withColumnRenamed("side", "edge_side")
+    edges = ahead.unionByName(back).withColumnRenamed("side", "edge_side").repartition("src").persist()
     start = pairs.select("qid", F.lit(0).alias("side"), F.col("src").alias("id"), F.lit(0.0).alias("d")).unionAll(
         pairs.select("qid", F.lit(1).alias("side"), F.col("dst").alias("id"), F.lit(0.0).alias("d"))
     )
@@ -130,6 +156,7 @@ def bidirectional_costs(graph: Graph, pairs: DataFrame, max_rounds: int = 10_000
         state = after
         if state.where("new").isEmpty():
             break
+    edges.unpersist()
     return pairs.select("qid").join(meetings(state).withColumnRenamed("best", "cost"), "qid", "left")
 
 
@@ -162,8 +189,8 @@ def dial(graph: Graph, sources: DataFrame, width: float | None = None, max_round
     """
     if dial_declines(graph).first()["declined"]:
         return None
-    edges = cheapest(graph)
-    width = width or max(1.0, edges.agg(F.avg("w")).first()[0] or 1.0)
+    edges = cheapest(graph).repartition("src").persist()
+    width = width or max(1.0, edges.agg(F.max("w")).first()[0] or 1.0)
     state = materialise(sources.select("qid", "id", F.lit(0.0).alias("d"), F.lit(True).alias("new")), "labels")
     for _ in range(max_rounds):
         lowest = state.where("new").groupBy("qid").agg(F.floor(F.min("d") / width).alias("bucket"))
@@ -182,10 +209,11 @@ def dial(graph: Graph, sources: DataFrame, width: float | None = None, max_round
         state = after
         if state.where("new").isEmpty():
             break
+    edges.unpersist()
     return state.select("qid", "id", F.col("d").alias("cost"))
 
 
-def all_pairs(graph: Graph, most_nodes: int = 1000) -> DataFrame | None:
+def all_pairs(graph: Graph, most_nodes: int = 5000) -> DataFrame | None:
     """Least costs between all pairs by min-plus squaring: (src, dst, cost).
 
     None (declined) for more nodes than `most_nodes`, as a round joins that
@@ -241,7 +269,7 @@ def path_costs(graph: Graph, paths: DataFrame) -> DataFrame:
 
 def least_paths(graph: Graph, pairs: DataFrame) -> DataFrame:
     """(qid, cost, path): of the cheapest paths for each pair the lexicographically least, over positive weights."""
-    edges = cheapest(graph)
+    edges = materialise(cheapest(graph), "cheapest")
     back = costs(graph.reverse(), pairs.select("qid", F.col("dst").alias("id"))).withColumnRenamed("cost", "rest")
     back = materialise(back, "rest")
     at = pairs.join(back.select("qid", F.col("id").alias("src"), F.col("rest").alias("total")), ["qid", "src"])
@@ -268,7 +296,7 @@ def k_shortest(graph: Graph, pairs: DataFrame, k: int = 3) -> DataFrame:
     first = least_paths(graph, pairs)
     accepted = materialise(first.select("qid", F.lit(1).alias("rank"), "cost", "path"), "accepted")
     pool = None
-    edges = cheapest(graph)
+    edges = materialise(cheapest(graph), "cheapest")
     goal = pairs.select("qid", F.col("dst").alias("goal"))
     for rank in range(2, k + 1):
         last = accepted.where(F.col("rank") == rank - 1).select("qid", "path")

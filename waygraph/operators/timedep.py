@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waygraph.functions.order import running_total
 from waygraph.operators.paths import _loop
 from waygraph.tables import Graph
 
@@ -20,9 +21,9 @@ DAY, GUARD = 86_400.0, 60.0
 
 def congestion_tiers(edges: DataFrame, seed: int = SEED) -> DataFrame:
     """Adds to edges(eid, w) the tier 0 to 4: the share of longer roads, moved by -1, 0 or 1 by a linear congruence on the id."""
-    # ranks by hash-free two levels: counts below each weight, then the order within it
+    # two levels: counts below each weight, then the order within it
     below = edges.groupBy("w").agg(F.count("*").alias("n"))
-    sums = below.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = running_total(below, "w", F.col("n"))
     many = edges.agg(F.count("*").alias("m"))
     rank = F.row_number().over(Window.partitionBy("w").orderBy("eid")) - 1 + F.col("before")
     jitter = F.expr(f"(((eid % 2147483647) * 1103515245 + {seed}) div 65536) % 3 - 1")

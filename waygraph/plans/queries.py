@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from waygraph.functions import geo
 from waygraph.loop import materialise
-from waygraph.operators import analysis, directions, paths, spatial, timedep, transit
+from waygraph.operators import analysis, directions, etl, harness, index, paths, spatial, timedep, trace, transit
 from waygraph.plans import derive
 from waygraph.plans import oracles as o
+from waygraph.sources import csv as sources
 from waygraph.tables import Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,7 +93,8 @@ def bellman_ford(spark, sf):
     return paths.bellman_ford(kept(_accounts(spark, sf)), one(spark, 0))[0].select("id", F.round("cost", 6).alias("cost"))
 
 
-@query("SELECT true AS declined_bellman_ford, true AS declined_johnson")
+@query("WITH RECURSIVE e(s, t, w) AS (VALUES (0, 1, 1.0), (1, 2, -3.0), (2, 0, 1.0)), r(a, id, k, d) AS (SELECT s, s, 0, 0.0 FROM e UNION ALL SELECT a, t, k + 1, d + w FROM r JOIN e ON s = id WHERE k < 3) "
+       "SELECT bool_or(d < 0) FILTER (WHERE a = 0) AS declined_bellman_ford, bool_or(d < 0) AS declined_johnson FROM r WHERE id = a AND k > 0")
 def negative_cycle(spark, sf):
     edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, -3.0), (2, 0, 1.0)], "src long, dst long, w double")
     graph = kept(Graph(spark.range(3).selectExpr("id", *derive.NO_PLACE), edges))
@@ -110,6 +112,18 @@ def dijkstra_pairs(spark, sf):
     return paths.pair_costs(kept(derive.part_lattice(spark, sf)), lattice_pairs(spark))
 
 
+@query(_PAIR_SQL)
+def ch_pairs(spark, sf):
+    return index.Contraction.build(kept(derive.part_lattice(spark, sf)), max_rounds=8).pair_costs(lattice_pairs(spark))
+
+
+@query(f"""WITH RECURSIVE {o.LATTICE}, {PAIRS_SQL}, h(k, id, n) USING KEY (k, id) AS (SELECT q, a, 0 FROM pairs UNION (SELECT h.k, e.t, min(h.n + 1) FROM h JOIN e ON e.s = h.id LEFT JOIN recurring.h p ON p.k = h.k AND p.id = e.t WHERE p.id IS NULL GROUP BY 1, 2)),
+w(k, id, n, d) AS (SELECT q, a, 0, 0.0::DOUBLE FROM pairs UNION ALL (SELECT w.k, e.t, w.n + 1, min(w.d + e.w) FROM w JOIN e ON e.s = w.id JOIN h ON h.k = w.k AND h.id = e.t AND h.n = w.n + 1 GROUP BY 1, 2, 3))
+SELECT q AS qid, d AS cost FROM pairs LEFT JOIN w ON w.k = q AND w.id = b""")
+def bfs_pairs(spark, sf):
+    return paths.fewest_hops(kept(derive.part_lattice(spark, sf)), lattice_pairs(spark))
+
+
 @query(_PAIR_SQL)
 def astar_pairs(spark, sf):
     return paths.pair_costs(kept(derive.part_lattice(spark, sf)), lattice_pairs(spark), goal_directed=True)
@@ -205,15 +219,15 @@ def mst(spark, sf):
     return analysis.spanning_tree(kept(derive.hierarchy(spark, sf)))
 
 
-@query(f"""WITH RECURSIVE {o.HIERARCHY}, b AS (SELECT s, t, min(w) AS w FROM e WHERE s < 1010 OR t < 1010 OR (s + t) % 3 = 0 GROUP BY 1, 2), n AS (SELECT s AS id FROM e UNION SELECT t FROM e),
+@query(f"""WITH RECURSIVE {o.HIERARCHY}, b AS (SELECT s, t, min(w) AS w FROM e GROUP BY 1, 2), n AS (SELECT s AS id FROM e UNION SELECT t FROM e),
 d(k, id, d) USING KEY (k, id) AS (SELECT id, id, 0.0::DOUBLE FROM n UNION (SELECT d.k, b.t, min(d.d + b.w) FROM d JOIN b ON b.s = d.id LEFT JOIN recurring.d p ON p.k = d.k AND p.id = b.t
  GROUP BY d.k, b.t, p.d HAVING min(d.d + b.w) < coalesce(p.d, 'infinity'::DOUBLE))),
 g AS (SELECT x.k, b.s, b.t FROM d x JOIN b ON b.s = x.id JOIN d y ON y.k = x.k AND y.id = b.t WHERE x.d + b.w = y.d),
-walk(k, id, path) AS (SELECT id, id, [id] FROM n UNION ALL SELECT w.k, g.t, list_append(w.path, g.t) FROM walk w JOIN g ON g.k = w.k AND g.s = w.id),
-c AS (SELECT k, id, count(*) AS n FROM walk GROUP BY 1, 2), inner_ AS (SELECT w.k, w.id AS z, unnest(w.path[2:len(w.path) - 1]) AS v FROM walk w WHERE len(w.path) > 2)
-SELECT n.id, round(coalesce(sum(1.0 / c.n), 0), 6) AS score FROM n LEFT JOIN (inner_ JOIN c ON c.k = inner_.k AND c.id = inner_.z) ON inner_.v = n.id GROUP BY n.id""")
+walk(k, id, c) AS (SELECT id, id, 1.0::DOUBLE FROM n UNION ALL (SELECT w.k, g.t, sum(w.c) FROM walk w JOIN g ON g.k = w.k AND g.s = w.id GROUP BY 1, 2)),
+c AS (SELECT walk.k, walk.id, sum(c) AS c, any_value(d.d) AS d FROM walk JOIN d ON d.k = walk.k AND d.id = walk.id GROUP BY 1, 2),
+x AS (SELECT a.id AS v, sum(a.c * b.c / st.c) AS score FROM c a JOIN c b ON b.k = a.id JOIN c st ON st.k = a.k AND st.id = b.id WHERE a.k <> a.id AND b.id <> a.id AND st.id <> st.k AND a.d + b.d = st.d GROUP BY 1)
+SELECT n.id, round(coalesce(score, 0), 6) AS score FROM n LEFT JOIN x ON x.v = n.id""")
 def betweenness(spark, sf):
-    """Over all arcs; the SQL still has a filtered part of them, as it enumerates paths, so it differs."""
     g = derive.hierarchy(spark, sf)
     arcs = g.edges.groupBy("src", "dst").agg(F.min("w").alias("w"))
     return analysis.betweenness(kept(Graph(g.nodes, arcs))).select("id", F.round("score", 6).alias("score"))
@@ -234,11 +248,11 @@ def min_cut(spark, sf):
 # ---- geometry
 
 
-@query(f"WITH {o.POINTS}, q AS (SELECT id AS qid, x + 0.01 AS qx, y - 0.02 AS qy FROM pts WHERE id % 10 = 0) SELECT qid, id, round(dist, 9) AS dist FROM (SELECT qid, id, "
+@query(f"WITH {o.POINTS}, q AS (SELECT id AS qid, x + 0.01 AS qx, y - 0.02 AS qy FROM pts) SELECT qid, id, round(dist, 9) AS dist FROM (SELECT qid, id, "
        "sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy)) AS dist, row_number() OVER (PARTITION BY qid ORDER BY sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy)), id) AS r FROM pts, q) WHERE r = 1")
 def nearest(spark, sf):
     p = derive.plane_points(spark, sf)
-    q = p.where("id % 10 = 0").selectExpr("id AS qid", "x + 0.01D AS qx", "y - 0.02D AS qy")
+    q = p.selectExpr("id AS qid", "x + 0.01D AS qx", "y - 0.02D AS qy")
     return spatial.k_nearest(q, p, 1).select("qid", "id", F.round("dist", 9).alias("dist"))
 
 
@@ -381,12 +395,15 @@ def td_earliest(spark, sf):
     return timedep.earliest_arrivals(timed, starts).select("dep", "id", F.round("arrival", 4).alias("arrival"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SP_TIMED}, r(k, id, d) USING KEY (k, id) AS (SELECT d, 10000001::BIGINT, d FROM (SELECT 3600.0::DOUBLE * range AS d FROM range(24))
+ UNION (SELECT r.k, x.t, min({_ARRIVE}) FROM r JOIN ranked x ON x.s = r.id LEFT JOIN recurring.r p ON p.k = r.k AND p.id = x.t GROUP BY r.k, x.t, p.d HAVING min({_ARRIVE}) < coalesce(p.d, 'infinity'::DOUBLE))),
+f AS (SELECT 3600.0 * range AS dep, round(d - k, 4) AS duration, d - k AS x FROM range(24) LEFT JOIN r ON r.k = 3600.0 * range AND r.id = 10000005)
+SELECT CAST(dep AS DOUBLE) AS dep, duration, dep = (SELECT arg_min(dep, [x, dep]) FROM f) AS best, dep = (SELECT arg_max(dep, [x, -dep]) FROM f) AS worst FROM f""")
 def td_scan(spark, sf):
     g = derive.supplier_part(spark, sf)
     edges = g.edges.select((F.col("src") * 1000003 + F.col("dst")).alias("eid"), "src", "dst", (F.col("w") * 40).alias("w"))
     timed = kept(Graph(g.nodes, timedep.congestion_tiers(edges)))
-    return timedep.scan_departures(timed, 10_000_001, 10_000_005)
+    return timedep.scan_departures(timed, 10_000_001, 10_000_005).withColumn("duration", F.round("duration", 4))
 
 
 # ---- transit: suppliers as stations over the vectors' plane
@@ -447,8 +464,6 @@ def transit_combine(spark, sf):
 
 # ---- indices, extracts, traces and races
 
-from waygraph.operators import etl, harness, index, trace  # noqa: E402
-from waygraph.sources import csv as sources  # noqa: E402
 
 _NATION_PAIRS = [(q, (q * 7) % 25, (q * 11 + 3) % 25) for q in range(12)]
 _NATION_PAIRS_SQL = "pairs(q, a, b) AS (VALUES " + ", ".join(f"({q}, {a}::BIGINT, {b}::BIGINT)" for q, a, b in _NATION_PAIRS) + ")"

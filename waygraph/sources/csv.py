@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from waygraph.functions.order import running_total
 from waygraph.loop import materialise
 from waygraph.tables import Graph
 
@@ -14,9 +15,18 @@ class InputError(ValueError):
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(line, text) of a text file: numbers run on within a file, in its order."""
-    raw = spark.read.option("wholetext", False).text(path).select(F.col("value").alias("text"), "_metadata.file_path", F.monotonically_increasing_id().alias("at"))
-    return numbered(raw)
+    """(line, text, head) of text files: numbers run on in the files' order by path; head marks a file's first line."""
+    raw = spark.read.text(path).select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    # Spark deals a file's blocks in any order, but keeps the order within one
+    blocks = raw.groupBy("file", "start").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    before = blocks.select("file", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "start").orderBy("at"))
+    rows = raw.withColumn("place", place).join(before, ["file", "start"])
+    return rows.select((F.col("place") + F.col("before")).cast("long").alias("line"), "text", ((F.col("start") == 0) & (F.col("place") == 1)).alias("head"))
 
 
 def lines_in(spark: SparkSession, text: str) -> DataFrame:
@@ -24,22 +34,14 @@ def lines_in(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(k + 1, x) for k, x in enumerate(text.split("\n"))], "line long, text string")
 
 
-def numbered(raw: DataFrame) -> DataFrame:
-    """Line numbers without one task for all: counts of each block of rows, then the place within the block."""
-    blocks = raw.withColumn("block", F.shiftright("at", 20))
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("block").orderBy("at")) + F.col("before")
-    return blocks.join(before.select("block", "before"), "block").withColumn("line", place.cast("long")).select("line", "text")
-
-
 def _fields(lines: DataFrame, names: list[str], kinds: list[str], least: int) -> DataFrame:
-    """Trimmed fields cast without exceptions; `reason` says what is wrong with a row. A first row without a number is a header."""
+    """Trimmed fields cast without exceptions; `reason` says what is wrong with a row. A first row (of each file) without a number is a header."""
     rows = lines.withColumn("text", F.trim("text")).where("text <> ''")
     parts = F.split("text", ",")
-    first = rows.agg(F.min_by(F.struct("line", F.try_element_at(parts, F.lit(1)).alias("head")), "line").alias("f"))
-    rows = rows.withColumn("p", parts).crossJoin(F.broadcast(first))
-    rows = rows.where(~((F.col("line") == F.col("f.line")) & F.expr("try_cast(trim(f.head) AS bigint) IS NULL")))
+    rows = rows.withColumn("p", parts)
+    if "head" not in lines.columns:
+        rows = rows.crossJoin(F.broadcast(rows.agg(F.min("line").alias("least")))).withColumn("head", F.col("line") == F.col("least"))  # one row
+    rows = rows.where(~(F.col("head") & F.expr("try_cast(trim(get(p, 0)) AS bigint) IS NULL")))
     cells = {n: F.expr(f"try_cast(trim(get(p, {k})) AS {kind})") for k, (n, kind) in enumerate(zip(names, kinds))}
     bad = F.when(F.size("p") < least, F.lit("too few fields"))
     for k, n in enumerate(names):
@@ -80,7 +82,7 @@ def read_graph(nodes: DataFrame, edges: DataFrame, space: str = "planar", lenien
     kept = e.where("reason IS NULL").join(good.select(F.col("id").alias("src"), "first"), "src")
     eid = F.row_number().over(Window.partitionBy("src").orderBy("line"))
     of_source = kept.groupBy("src").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-    before = of_source.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("src", "before")
+    before = running_total(of_source, "first", F.col("n")).select("src", "before")
     out = kept.join(before, "src").withColumn("eid", (eid - 1 + F.col("before")).cast("long"))
     return Graph(good.select("id", "x", "y"), out.select("eid", "src", "dst", "w"), space), warnings
 

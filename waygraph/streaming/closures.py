@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.loop import materialise
 from waygraph.operators.paths import pair_costs
 from waygraph.tables import Graph
 
@@ -17,17 +16,18 @@ def follow_closures(events: DataFrame, graph: Graph, pairs: DataFrame, put: Call
 
     events is a stream of (u, v, closed, at). After each batch the last word on
     every road stands, and `put` gets (qid, cost) on the roads that are open,
-    with the batch's number. The state between batches is a table in the shared
-    folder. Returns the running query.
+    with the batch's number. The state after each batch is a table beside the
+    checkpoint, named by the batch: after a restart the next batch reads the one
+    before it, and a batch that is run again writes the same table again. Returns the running query.
     """
-    last: dict[str, DataFrame] = {}
 
     def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
         seen = df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "closed", "at")
-        if "state" in last:
-            seen = seen.unionByName(last["state"])
-        state = seen.groupBy("u", "v").agg(F.max_by("closed", "at").alias("closed"), F.max("at").alias("at"))
-        last["state"] = materialise(state, "closures")
-        put(pair_costs(graph.close(last["state"].where("closed")), pairs), number)
+        if number > 0:
+            seen = seen.unionByName(spark.read.parquet(f"{checkpoint}-state/{number - 1}"))
+        state = seen.groupBy("u", "v").agg(F.max_by("closed", F.struct("at", "closed")).alias("closed"), F.max("at").alias("at"))
+        state.write.mode("overwrite").parquet(f"{checkpoint}-state/{number}")
+        put(pair_costs(graph.close(spark.read.parquet(f"{checkpoint}-state/{number}").where("closed")), pairs), number)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
