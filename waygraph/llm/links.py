@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from waygraph.loop import connected_components, materialise, release
 
 
+#: Nodes of a bucket whose pairs are all compared at once.
+FEW = 64
+
+
 def bucket_components(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
@@ -23,8 +27,9 @@ def bucket_components(
     node only. A bucket whose nodes then have one label needs no more, as
     further links cannot join anything. Of the others, `across` gets the
     members as `(key, node, label)` and returns links `(a, b)` between nodes or
-    labels: in the last round all that join different labels, before it any of
-    them. So no component is lost. Returns `(id, component)` for linked nodes.
+    labels: in the last round, and of buckets of FEW nodes at most at once, all
+    that join different labels, before it any of them. So no component is lost,
+    and only large buckets are looked at again. Returns `(id, component)` for linked nodes.
     """
     by_key = Window.partitionBy("key").orderBy("node")
     stars = members.withColumn("center", F.first("node").over(by_key)).where("node <> center").distinct()
@@ -54,11 +59,14 @@ def bucket_components(
         )
         # buckets of the same nodes (of several bands) are looked at once
         alike = inside.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)) % F.lit(2**40)).alias("y"))
+        alike = alike.where(F.col("n") > FEW) if turn else alike
         once = materialise(alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "once")
         every, inside = inside, materialise(inside.join(once, "key", "left_semi"), "inside")
         release(every)
         release(once)
         release(keys, shuffles=True)
+        if turn and inside.isEmpty():
+            break
         more = materialise(across(inside, turn == rounds - 1).select("a", "b").distinct(), "links")
         release(inside, shuffles=True)
         if not more.isEmpty():

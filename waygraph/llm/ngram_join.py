@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.llm.links import bucket_components
+from waygraph.llm.links import FEW, bucket_components
 from waygraph.llm.words import U, chunks, flat, mix, shingle_sets
 from waygraph.loop import materialise, release
 
@@ -174,7 +174,7 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, last: bool) -> Iter
 
     def pairs() -> pa.RecordBatch:
         node, label, n = (np.array(x, np.int64) for x in rows[:3])
-        found = [(min(p), max(p)) for p in _near(node, label, n, rows[3], percent, last)] if len(node) > 1 else []
+        found = [(min(p), max(p)) for p in _near(node, label, n, rows[3], percent, last or len(node) <= FEW)] if len(node) > 1 else []
         a, b = zip(*found) if found else ((), ())
         return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -259,8 +259,8 @@ def similarity_groups(
         )
         text = lambda c: texts.select(F.col("id").alias(f"{c}_id"), F.col("text").alias(f"{c}_text"))
         return (
-            sized.join(text("b"), "b_id")
-            .join(text("a"), "a_id")
+            sized.join(text("b").hint("merge"), "b_id")
+            .join(text("a").hint("merge"), "a_id")
             .select("a", "b", "a_text", "b_text")
             .mapInArrow(partial(_verified, n=n, percent=percent), "a long, b long")
         )
