@@ -191,6 +191,25 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_recall_of_planted_pairs(spark, kind):
+    """Pairs a little above the threshold among many others, of single and double floats; repeated rows link with one another."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(300, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = r.normal(size=base.shape)
+    aside -= (aside * base).sum(axis=1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    c = r.uniform(0.9305, 0.94, 300)[:, None]
+    both = np.concatenate([base, c * base + np.sqrt(1 - c * c) * aside])
+    rows = [(k, [float(x) for x in v], k % 2) for k, v in enumerate(both)]
+    rows = [(k, v, (k % 300) % 2) for k, v, _ in rows] + [(1000, rows[0][1], 0), (1000, rows[0][1], 0)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")).collect()
+    links = {x["vec_id"]: x["n_links"] for x in got}
+    assert len(got) == len(rows) and links[1000] == links[0] == 3 and links[300] == 3
+    assert sum(links[k] == 1 for k in range(1, 300)) >= 0.99 * 299
+
+
 def test_rotation_codes_estimate_without_bias():
     r = np.random.default_rng(0)
     o = r.normal(size=(400, 64))

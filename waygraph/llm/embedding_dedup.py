@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waygraph.llm.words import U, mix
 from waygraph.loop import connected_components, materialise
@@ -45,8 +46,8 @@ def plan(rows: int, threshold: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(MISS) / math.log1p(-(same**bits)))) if same < 1 else 1
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The vectors as bytes of doubles; null where a vector can't link."""
+def _vectors(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """The vectors as bytes of their own floats; null where a vector can't link."""
     for batch in batches:
         out = []
         for v in batch.column(2):
@@ -56,28 +57,28 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(x) and not x.null_count:
                     x = x.to_numpy(zero_copy_only=False).astype(np.float64)
                     top = np.abs(x).max()
-                    a = x.tobytes() if np.isfinite(top) and top > 0 else None
+                    a = x.astype(kind).tobytes() if np.isfinite(top) and top > 0 else None
             out.append(a)
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "label", "vec"])
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(b, np.float64) for b in raw])
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.stack([np.frombuffer(b, kind) for b in raw]).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # neither overflow nor underflow
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], bits: int, bands: int, kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, label = batch.column(2).to_pylist(), batch.column(1).to_numpy()
-        size = np.array([len(b) // 8 for b in raw])
+        size = np.array([len(b) // np.dtype(kind).itemsize for b in raw])
         code: list = [None] * len(raw)
         factor = np.zeros(len(raw))
         keys = np.zeros((len(raw), bands), U)
         for dim in np.unique(size):
             at = np.flatnonzero(size == dim)
             r = rotations(int(dim), max(bits * bands, int(dim)))
-            turned = _unit([raw[i] for i in at]) @ r
+            turned = _unit([raw[i] for i in at], kind) @ r
             factor[at] = np.abs(turned[:, :dim]).sum(axis=1) / math.sqrt(dim)
             sign = turned > 0
             for i, s in zip(at, np.packbits(sign, axis=1, bitorder="little")):
@@ -94,10 +95,10 @@ def _encode(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterato
 
 def _compare(
     node: np.ndarray, copies: np.ndarray, block: np.ndarray, raw: list[bytes], code: list[bytes], factor: np.ndarray,
-    threshold: float, bits: int, bands: int, band: int, parts: tuple[int, int],
+    threshold: float, bits: int, bands: int, kind: str, band: int, parts: tuple[int, int],
 ) -> Iterator[tuple[int, int, int | None]]:
     """(node, links, None) and (node, 0, linked node) of one bucket or pair of blocks."""
-    o = _unit(raw)
+    o = _unit(raw, kind)
     dim = o.shape[1]
     sign = np.unpackbits(np.frombuffer(b"".join(code), np.uint8).reshape(len(code), -1), axis=1, bitorder="little")
     turned = (o @ rotations(dim, dim)).astype(np.float32)
@@ -128,7 +129,7 @@ def _compare(
             root[np.isin(root, roots)] = root[a]
 
 
-def _links(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, bands: int) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, bands: int, kind: str) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (bucket, low, high): a run is one bucket, or one pair of its blocks."""
     run, rows = None, []
 
@@ -136,7 +137,7 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, bands
         out = []
         if len(rows) > 1:
             _, low, high, band, block, node, copies, vec, code, factor = zip(*rows)
-            out = list(_compare(np.array(node), np.array(copies), np.array(block), list(vec), list(code), np.array(factor), threshold, bits, bands, band[0], (low[0], high[0])))
+            out = list(_compare(np.array(node), np.array(copies), np.array(block), list(vec), list(code), np.array(factor), threshold, bits, bands, kind, band[0], (low[0], high[0])))
         a, n, b = zip(*out) if out else ((), (), ())
         return pa.record_batch([pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.int64())], ["node", "links", "other"])
 
@@ -165,7 +166,8 @@ def near_vectors(
     rows link with one another. Other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("vec"))
-    rows = rows.mapInArrow(_vectors, "id long, label long, vec binary")
+    kind = "<f4" if isinstance(rows.schema["vec"].dataType.elementType, T.FloatType) else "<f8"
+    rows = rows.mapInArrow(partial(_vectors, kind=kind), "id long, label long, vec binary")
     real = "vec IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL"
     rows = materialise(rows.withColumn("node", F.when(F.expr(real), F.xxhash64("label", "vec"))), "vectors")
     classes = rows.where("node IS NOT NULL").groupBy("node", "label", "vec").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
@@ -173,7 +175,7 @@ def near_vectors(
     bits, bands = plan(most, threshold)
     codes = materialise(
         classes.select("node", "label", "vec", "copies").mapInArrow(
-            partial(_encode, bits=bits, bands=bands), "node long, copies long, vec binary, code binary, factor double, buckets array<long>"
+            partial(_encode, bits=bits, bands=bands, kind=kind), "node long, copies long, vec binary, code binary, factor double, buckets array<long>"
         ),
         "codes",
     )
@@ -191,7 +193,7 @@ def near_vectors(
         .select("bucket", "low", "high", "band", "block", "node", "copies", "vec", "code", "factor")
         .repartition("bucket", "low", "high")
         .sortWithinPartitions("bucket", "low", "high")
-        .mapInArrow(partial(_links, threshold=threshold, bits=bits, bands=bands), "node long, links long, other long"),
+        .mapInArrow(partial(_links, threshold=threshold, bits=bits, bands=bands, kind=kind), "node long, links long, other long"),
         "links",
     )
     reps = classes.select("node", "rep", "copies")

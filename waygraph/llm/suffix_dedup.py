@@ -238,8 +238,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = materialise(rows.withColumn("uid", F.monotonically_increasing_id()), "rows")
     found = materialise(rows.select("uid", "text").mapInArrow(_anchor_rows, "uid long, pos int, bucket long, around long"), "anchors")
     met = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    met = materialise(met, "met")  # a table of its own, so that the join can be split at a bucket with very many anchors
     shared = materialise(found.join(met, "bucket"), "shared")
     release(found, shuffles=True)
+    release(met)
     kinds = shared.where("around IS NOT NULL").groupBy("bucket", "around").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("one"))
     kinds = materialise(kinds, "kinds")
     whole = shared.join(kinds.where("n > 1").select("bucket", "around"), ["bucket", "around"], "left_semi")
