@@ -29,7 +29,10 @@ def _loop(
     bound: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     keys: tuple[str, ...] = ("qid", "id"),
 ) -> tuple[DataFrame, bool]:
-    """Label-correcting loop. step: the new label from `d` and the edge's columns. Returns the labels, and whether they settled."""
+    """Label-correcting loop. step: the new label from `d` and the edge's columns. Returns the labels, and whether they settled.
+
+    Labels are of any type that has an order, structs too.
+    """
     edges = edges.repartition("src").persist()  # dealt once; what a lost executor held is made again
     others = [k for k in keys if k != "id"]
 
@@ -48,7 +51,7 @@ def _loop(
             found.append(relaxed(found[-1]))
         merged = state.select(*keys, "d", F.col("d").alias("old"))
         for reached in found:
-            merged = merged.unionByName(reached.withColumn("old", F.lit(None).cast("double")))
+            merged = merged.unionByName(reached.withColumn("old", F.lit(None).cast(state.schema["d"].dataType)))
         merged = (
             merged.groupBy(*keys)
             .agg(F.min("d").alias("d"), F.min("old").alias("old"))

@@ -79,12 +79,17 @@ def within(queries: DataFrame, points: DataFrame, radius: float, space: str = "p
     return met.withColumn("dist", d).where(F.col("dist") <= radius).select("qid", "id", "dist")
 
 
-def convex_hull(points: DataFrame, group: str, parts: int = 64) -> DataFrame:
+HULL_POINTS = 100_000
+
+
+def convex_hull(points: DataFrame, group: str, parts: int | None = None) -> DataFrame:
     """Hull corners (group, id, x, y) of each group's points (group, id, x, y); collinear and repeated points are none.
 
     Two levels: a point that is no corner of its part's hull is none of the
-    whole, so parts are reduced first and only their corners meet in one task.
+    whole, so parts (by default of about HULL_POINTS points) are reduced first
+    and only their corners meet in one task.
     """
+    parts = parts or points.count() // HULL_POINTS + 1
 
     def corners(pdf):  # monotone chain over sorted points
         p = pdf.sort_values(["x", "y", "id"]).drop_duplicates(["x", "y"])

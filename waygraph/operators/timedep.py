@@ -61,6 +61,16 @@ def earliest_arrivals(graph: Graph, starts: DataFrame, speed: float = SPEED, max
     return labels.select("dep", "id", F.col("d").alias("arrival"))
 
 
+def journeys(graph: Graph, starts: DataFrame, speed: float = SPEED, max_rounds: int = 10_000) -> DataFrame:
+    """(dep, id, duration, metres, free_flow) for starts(dep, id): of the earliest arrivals the shortest way, and its seconds on empty roads."""
+    edges = graph.edges if "tier" in graph.edges.columns else congestion_tiers(graph.edges, SEED)
+    label = F.struct(arrival(F.col("w"), F.col("tier"), F.col("d.at"), speed).alias("at"), (F.col("d.metres") + F.col("w")).alias("metres"))
+    start = starts.select("dep", "id", F.struct(F.col("dep").alias("at"), F.lit(0.0).alias("metres")).alias("d"))
+    labels, _ = _loop(edges.select("src", "dst", "w", "tier"), start, label, max_rounds, keys=("dep", "id"))
+    free = F.col("d.metres") / (speed if speed > 0 else SPEED)
+    return labels.select("dep", "id", (F.col("d.at") - F.col("dep")).alias("duration"), F.col("d.metres").alias("metres"), free.alias("free_flow"))
+
+
 def scan_departures(graph: Graph, source: int, target: int, samples: int = 24, speed: float = SPEED) -> DataFrame:
     """Durations (dep, duration, best, worst) of evenly spaced departures over a day; first wins ties."""
     n = max(2, samples)

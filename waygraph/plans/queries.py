@@ -406,6 +406,18 @@ def td_scan(spark, sf):
     return timedep.scan_departures(timed, 10_000_001, 10_000_005).withColumn("duration", F.round("duration", 4))
 
 
+@query(f"""WITH RECURSIVE {_SP_TIMED}, r(k, id, l) USING KEY (k, id) AS (SELECT d, 10000001::BIGINT, [d, 0.0::DOUBLE] FROM (SELECT unnest([0.0, 64800.0])::DOUBLE AS d)
+ UNION (SELECT r.k, x.t, min([{_ARRIVE.replace("r.d", "r.l[1]")}, r.l[2] + x.w]) FROM r JOIN ranked x ON x.s = r.id LEFT JOIN recurring.r p ON p.k = r.k AND p.id = x.t
+ GROUP BY r.k, x.t, p.l HAVING min([{_ARRIVE.replace("r.d", "r.l[1]")}, r.l[2] + x.w]) < coalesce(p.l, ['infinity'::DOUBLE, 0.0])))
+SELECT k AS dep, id, round(l[1] - k, 4) AS duration, round(l[2], 4) AS metres, round(l[2] / 11.1, 4) AS free_flow FROM r""")
+def td_journeys(spark, sf):
+    g = derive.supplier_part(spark, sf)
+    edges = g.edges.select((F.col("src") * 1000003 + F.col("dst")).alias("eid"), "src", "dst", (F.col("w") * 40).alias("w"))
+    timed = kept(Graph(g.nodes, timedep.congestion_tiers(edges)))
+    starts = spark.createDataFrame([(d, 10_000_001) for d in (0.0, 64800.0)], "dep double, id long")
+    return timedep.journeys(timed, starts).select("dep", "id", *[F.round(c, 4).alias(c) for c in ("duration", "metres", "free_flow")])
+
+
 # ---- transit: suppliers as stations over the vectors' plane
 
 
@@ -506,6 +518,15 @@ def trace_replay(spark, sf):
     return trace.replay(events, 2).select("id", "explored", "in_frontier")
 
 
+@query(o.sssp(o.LATTICE, "SELECT 0, 12::BIGINT, 0.0::DOUBLE", """, b AS (SELECT s, t, min(w) AS w FROM e GROUP BY 1, 2),
+m AS (SELECT a.d AS step, b.t AS node, a.id AS parent, a.d + b.w AS offer FROM r a JOIN b ON b.s = a.id UNION ALL SELECT -1, 12, NULL, 0.0),
+x AS (SELECT *, min(offer) OVER (PARTITION BY node ORDER BY step, parent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m)
+SELECT CAST(greatest(step, 0) AS DOUBLE) AS step, CASE WHEN before IS NULL THEN 0 ELSE 2 END AS op, node, parent FROM x WHERE before IS NULL OR offer < before
+UNION ALL SELECT d, 1, id, NULL FROM r""").replace("\n, b AS", ", b AS"))
+def cost_trace(spark, sf):
+    return trace.cost_trace(kept(derive.part_lattice(spark, sf)), one(spark, 12)).drop("qid")
+
+
 _WAYS = """step AS (SELECT user_id AS way_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_id % 400 AS id FROM events),
 pl AS (SELECT CAST(range AS BIGINT) AS id, 13 + ((range * 37) % 100) / 250.0 AS lat, 77 + ((range * 61) % 100) / 250.0 AS lon FROM range(400))"""
 
