@@ -239,3 +239,31 @@ def test_transit_links_the_nearest_in_metres(spark):
         near = [x for x in d if x[0] <= transit.RADIUS][: transit.TRANSFERS] or d[:1]
         want |= {(k, i + transit.STATION_BASE) for _, k in near}
     assert (8, transit.STATION_BASE) in want and got == want
+
+
+@pytest.mark.parametrize("radius", [900.0, 250_000.0, 4_000_000.0])
+def test_within_around_the_globe(spark, radius):
+    """Against all pairs, also across the date line and at the poles."""
+    import math
+    import random
+
+    r = random.Random(4)
+    span = radius / 111_000
+    places = []
+    for lat, lon in [(0, 179.9999), (60, -180), (89.9999, 10), (-90, 0), (45, 7), (-66, 180)]:
+        for _ in range(14):
+            y = max(-90.0, min(90.0, lat + r.uniform(-span, span)))
+            x = lon + r.uniform(-span, span) / max(0.02, math.cos(math.radians(y)))
+            places.append((len(places), (x + 180) % 360 - 180, y))
+    places.append((len(places), 180.0, 0.0))
+
+    def metres(a, b):
+        p, q = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6_371_008.8 * math.asin(math.sqrt(min(1.0, h)))
+
+    nodes = spark.createDataFrame(places, "id long, x double, y double")
+    got = {(a["qid"], a["id"]) for a in spatial.within(nodes.toDF("qid", "qx", "qy"), nodes, radius, "geographic").collect()}
+    near = {(a[0], b[0]): metres(a, b) for a in places for b in places}
+    assert {k for k, m in near.items() if m <= radius - 1e-3} <= got <= {k for k, m in near.items() if m <= radius + 1e-3}
+    assert len(got) > len(places)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waygraph.functions.geo import EARTH_RADIUS, euclidean, straight_line
@@ -60,21 +60,34 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int = 1, skip_self: bool
         size *= 4
 
 
+def _columns(row: Column, size: float, radius: float) -> Column:
+    """Cells into which a row of latitudes is cut: each is as wide as the radius reaches from the rows beside it, one near a pole."""
+    top = F.greatest(F.abs(row - 1), F.abs(row + 2)) * size
+    ratio = math.sin(min(radius / EARTH_RADIUS, math.pi / 2)) / F.cos(F.radians(F.least(top, F.lit(89.999999))))
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), ratio))) * 1.0001
+    return F.when((top >= 89.9) | (ratio >= 0.9999), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / wide))).cast("long")
+
+
 def within(queries: DataFrame, points: DataFrame, radius: float, space: str = "planar") -> DataFrame:
     """All points within the radius (inclusive) of each query: (qid, id, dist). Cells of one radius are joined by key.
 
-    In geographic space (metres; x = lon, y = lat) cells are as wide as the
-    radius at the queries' highest latitude; not for places near the poles or
-    across the date line.
+    In geographic space (metres; x = lon, y = lat) rows of latitudes are cut into
+    as many cells as their circle holds, all around it, so that places near the
+    poles and across the date line meet too.
     """
+    p = points.select("id", "x", "y")
     if space == "geographic":
-        top = queries.agg(F.max(F.abs("qy")).alias("m")).first()["m"] or 0.0
-        degrees = math.degrees(radius / EARTH_RADIUS)
-        scale = max(math.cos(math.radians(min(89.0, top + degrees))), 1e-6)
-        size = degrees / scale * 1.0001
+        size = max(math.degrees(radius / EARTH_RADIUS) * 1.0001, 1e-9)
+        at = lambda x: F.floor(F.pmod(F.col(x) + 180, F.lit(360.0)) / 360 * F.col("n"))
+        cells = p.withColumn("cy", F.floor(F.col("y") / size)).withColumn("n", _columns(F.col("cy"), size, radius))
+        cells = cells.withColumn("cx", F.pmod(at("x"), F.col("n"))).drop("n")
+        rows = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor(F.col("qy") / size) + k)
+        asked = queries.withColumn("cy", F.explode(rows)).withColumn("n", _columns(F.col("cy"), size, radius))
+        beside = F.array_distinct(F.array(*[F.pmod(at("qx") + k, F.col("n")) for k in (-1, 0, 1)]))
+        met = asked.withColumn("cx", F.explode(beside)).drop("n").join(cells, ["cx", "cy"])
     else:
         size = radius * 1.0000001 or 1e-12
-    met = _around(_cells(queries, "qx", "qy", size)).join(_cells(points.select("id", "x", "y"), "x", "y", size), ["cx", "cy"])
+        met = _around(_cells(queries, "qx", "qy", size)).join(_cells(p, "x", "y", size), ["cx", "cy"])
     d = straight_line(space, F.col("qx"), F.col("qy"), F.col("x"), F.col("y"))
     return met.withColumn("dist", d).where(F.col("dist") <= radius).select("qid", "id", "dist")
 
