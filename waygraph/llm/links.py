@@ -58,7 +58,7 @@ def bucket_components(
             "inside",
         )
         # buckets of the same nodes (of several bands) are looked at once
-        alike = inside.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)) % F.lit(2**40)).alias("y"))
+        alike = inside.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)) % F.lit(2**20)).alias("y"))
         alike = alike.where(F.col("n") > FEW) if turn else alike
         once = materialise(alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "once")
         every, inside = inside, materialise(inside.join(once, "key", "left_semi"), "inside")
