@@ -29,6 +29,8 @@ from waygraph.llm.words import U, chunks, flat, mix, shingle_sets
 from waygraph.loop import materialise, release
 
 PART_BITS = 256
+#: Parts of a group: with more of them a key holds more of the group, and there are more keys.
+PARTS = 3
 #: Bits of the filter of texts that are compared: 2 MB are broadcast, however many texts there are.
 FILTER_BITS = 1 << 23
 #: A band's largest size over its smallest; 1.45 gives the fewest sketch parts in all.
@@ -45,11 +47,6 @@ def _bands(most: int) -> np.ndarray:
 BANDS = _bands(1 << 40)
 
 
-def _parts(percent: int) -> int:
-    """Parts of a group: with more of them a key holds more of the group, which is smaller at a lower similarity, and there are more keys."""
-    return 3 if percent >= 88 else 4
-
-
 def set_name(s: np.ndarray) -> int:
     return int(mix(np.array([np.bitwise_xor.reduce(mix(s ^ U(0x51ED270B))) + U(len(s))], U)).view(np.int64)[0])
 
@@ -68,7 +65,7 @@ def sketch_keys(s: np.ndarray, percent: int) -> np.ndarray:
     for band in range(lo, hi + 1):
         top = int(BANDS[band + 1]) - 1
         apart = 2 * top * (100 - percent) // (100 + percent)
-        groups, parts = apart // 2 + 1, _parts(percent) if apart else 1
+        groups, parts = apart // 2 + 1, PARTS if apart else 1
         h = mix(s ^ U(band * 0x9E3779B1 + 1))
         part = ((h >> U(8)) % U(groups * parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
@@ -85,8 +82,8 @@ def sketch_keys(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
-    """The whole parity sketch, of 8 to 16 bits an element; sizes are powers of two, so halves XOR into a smaller sketch."""
-    bits = max(512, 8 << (len(s) - 1).bit_length())
+    """The whole parity sketch, of 1 to 2 bits an element; sizes are powers of two, so halves XOR into a smaller sketch."""
+    bits = max(512, 1 << (len(s) - 1).bit_length())
     return np.packbits(np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -98,28 +95,27 @@ def folded(sketch: bytes, width: int) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
-        sizes, names, bits, small = [], [], [], []
+        sizes, names, bits = [], [], []
         for _, _, data, off in chunks(batch.column(1)):
             for s in shingle_sets(data, off, n):
                 sizes.append(len(s))
                 names.append(name := set_name(s) if len(s) else None)
                 bits.append(None if name is None or name in seen else bit_sketch(s))
-                small.append(bits[-1] and folded(bits[-1], max(8, len(bits[-1]) // 32)).tobytes())
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(name)
         yield pa.record_batch(
-            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.binary())],
-            ["id", "uid", "n", "node", "bits", "small"],
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bits, pa.binary())],
+            ["id", "uid", "n", "node", "bits"],
         )
 
 
 def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Drop the pairs whose small sketches differ in more bits than a link's sets may differ in elements."""
+    """Drop the pairs whose sketches differ in more bits than a link's sets may differ in elements."""
     for batch in batches:
         n = batch["a_n"].to_numpy() + batch["b_n"].to_numpy()
         far = np.zeros(len(n), np.int64)
-        for i, (x, y) in enumerate(zip(batch["a_small"].to_pylist(), batch["b_small"].to_pylist())):
+        for i, (x, y) in enumerate(zip(batch["a_bits"].to_pylist(), batch["b_bits"].to_pylist())):
             width = min(len(x), len(y)) // 8
             far[i] = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(dtype=np.int64)
         near = pa.array(far * (100 + percent) <= n * (100 - percent))
@@ -237,13 +233,13 @@ def similarity_groups(
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     features = rows.select("id", "text", F.xxhash64("id", "text").alias("uid"))
-    features = materialise(features.mapInArrow(partial(_features, n=n), "id long, uid long, n long, node long, bits binary, small binary"), "features")
-    classes = features.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("small").alias("small"))
+    features = materialise(features.mapInArrow(partial(_features, n=n), "id long, uid long, n long, node long, bits binary"), "features")
+    classes = features.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     classes = materialise(classes, "classes")
     members = rows.select("text").mapInArrow(partial(_sketches, n=n, percent=percent), "key long, node long")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        own = lambda c: classes.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_id"), F.col("n").alias(f"{c}_n"), F.col("small").alias(f"{c}_small"))
+        own = lambda c: classes.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_id"), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
         sized = pairs.join(own("a"), "a").join(own("b"), "b").where(
             f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
         )
@@ -266,8 +262,7 @@ def similarity_groups(
         )
 
     def across(inside: DataFrame, last: bool) -> DataFrame:
-        bits = features.where("bits IS NOT NULL").join(inside.select("node").distinct(), "node", "left_semi")
-        bits = bits.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+        bits = classes.select("node", "n", "bits").join(inside.select("node").distinct(), "node", "left_semi")
         count = inside.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         own = F.pmod("node", "blocks").cast("int")
         dealt = inside.join(count, "key").select(
@@ -295,6 +290,6 @@ def similarity_groups(
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     found = linked.join(least, "component").select("node", "component", "least")
     whole = classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("class"), F.coalesce("least", "rep").alias("least"))
-    return features.drop("bits", "small").join(whole, "node", "left").select(
+    return features.drop("bits").join(whole, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), *(["uid", "class"] if named else [])
     )
