@@ -68,7 +68,44 @@ ends AS (SELECT min(slot) AS e FROM plan WHERE block = blocks - 1)
 SELECT d.doc_id, d.source, plan.block, plan.slot, plan.slot * 16 + d.nth % 16 AS position, plan.slot <= e AS in_mix
 FROM d JOIN plan ON plan.x = d.x AND plan.block = d.nth // 16, ends"""
 
+#: crc32 byte by byte over the distinct words, with its table made by a recursion.
+RESAMPLING = """WITH RECURSIVE t(k, i, v) AS (SELECT 0, i, i FROM (SELECT range AS i FROM range(256)) UNION ALL SELECT k + 1, i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM t WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM t WHERE k = 8),
+texts AS (SELECT 0 AS kind, row_number() OVER () AS row, doc_id, text FROM documents UNION ALL SELECT 1, 0, NULL, text FROM benchmark),
+w AS (SELECT kind, row, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+bytes AS (SELECT w, [CAST('0x' || hex(encode(w))[2 * i + 1:2 * i + 2] AS BIGINT) FOR i IN range(octet_length(encode(w)))] AS b FROM (SELECT DISTINCT w FROM w)),
+crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab),
+f AS (SELECT kind, row, bucket FROM w JOIN crc ON crc.w = w.w),
+n AS (SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM f GROUP BY 1),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM n),
+d AS (SELECT row, count(*) AS n, CAST(sum(gain) AS BIGINT) AS gained FROM f JOIN g ON g.bucket = f.bucket WHERE kind = 0 GROUP BY 1),
+x AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (gained - (gained % n + n) % n) // n ELSE 0 END AS weight,
+ CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h FROM texts LEFT JOIN d ON d.row = texts.row WHERE kind = 0),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, n_features >= 20 AS can, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, 10 * count(*) OVER (PARTITION BY n_features >= 20) // 100 AS m FROM y)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN can AND r <= m THEN CAST(r AS BIGINT) END AS rank FROM z"""
+
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    parts = ["v AS (SELECT vec_id, CAST(row_number() OVER () AS BIGINT) AS row, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings "
+             "WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)",
+             f"c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT v, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT {k}))"]
+    for t in range(rounds + 1):
+        parts.append(f"d{t} AS (SELECT row, c, CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.v, c{t}.v)]) AS BIGINT) AS d FROM v, c{t})")
+        parts.append(f"a{t} AS (SELECT row, min([d, c])[2] AS c, min(d) AS d FROM d{t} GROUP BY row)")
+        if t < rounds:
+            parts.append(f"s{t} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT a{t}.c, unnest(v) AS x, unnest(range(64)) AS i FROM a{t} JOIN v USING (row)) GROUP BY 1, 2)")
+            parts.append(f"m{t} AS (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS v FROM s{t} GROUP BY c)")
+            parts.append(f"c{t + 1} AS (SELECT c{t}.c, coalesce(m{t}.v, c{t}.v) AS v FROM c{t} LEFT JOIN m{t} ON m{t}.c = c{t}.c)")
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(x.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY x.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM {last} x JOIN v ON v.row = x.row JOIN c{rounds} ON c{rounds}.c = x.c"""
+
+
 ORACLES = {
+    "op11_importance_resampling": RESAMPLING,
+    "op13_centroid_clustering": _clusters(),
     "op1_mixing": MIXING,
     "op2_embedding_dedup": NEAR_VECTORS,
     "op6_suffix_dedup": REPEATS,

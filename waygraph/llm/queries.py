@@ -91,3 +91,28 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = dedup_lines(table(spark, sf_dir, "documents"), percent=80)
     return out.select("row.doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygraph.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from waygraph.llm.bpe import bpe_decode, bpe_encode
+
+    vocabulary = "byte_bpe_50k.tiktoken"
+    both = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygraph.llm.clustering import sorted_means
+
+    return sorted_means(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256, seed=2)
