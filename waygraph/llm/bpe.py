@@ -1,14 +1,15 @@
 """Byte-level BPE encoding by a queue of merge ranks, and decoding.
 
-A pre-token's symbols are a linked list of byte positions. Each merge rank has
-a bucket of the positions where a pair of that rank was seen, and a bitmap of
-two levels marks the buckets that hold any: finding the first set bit of each
+The symbols of a block of pre-tokens are one linked list of byte positions,
+with a separator between pre-tokens that no token holds. Each merge rank has a
+bucket, a heap of the positions where a pair of that rank was seen, and a bitmap
+of two levels marks the buckets that hold any: finding the first set bit of each
 level gives the least rank, whatever the number of ranks. A merge links two
 symbols and files the one or two new pairs; entries whose pair has changed
 since are stale and skipped when they come up. So a pre-token of n bytes takes
 n - 1 merges at most and each a bounded number of steps plus a heap's within
-the bucket, where an approach that looks over all pairs for each merge takes n
-steps a merge.
+the bucket, where looking over all pairs for each merge takes n steps a merge.
+Pre-tokens of a block share the queue, so that a rank is picked once for all.
 """
 
 from __future__ import annotations
@@ -17,14 +18,21 @@ import base64
 from collections.abc import Iterator
 from functools import partial
 from heapq import heappop, heappush
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED, SHORT = 500_000, 48
+#: Distinct pre-tokens whose ids a worker remembers (the last so many, and as many before them), and the longest of them in characters.
+REMEMBERED, SHORT = 250_000, 48
+#: Characters of the texts that are split and merged at once, and the pre-tokens of a longer text; small enough for a processor's cache.
+BLOCK, PIECES = 1 << 16, 16_384
+#: Buckets that share a word of the lower bitmap: 2 to this power. The upper bitmap has a bit for each word.
+WORD = 8
+#: Stands between pre-tokens; no byte of UTF-8.
+SEPARATOR = 0xFF
 
 
 def read_ranks(vocabulary: str) -> dict[bytes, int]:
@@ -37,101 +45,140 @@ def read_ranks(vocabulary: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-#: Buckets that share a word of the lower bitmap: 2 to this power. The upper bitmap has a bit for each word.
-WORD = 8
-
-
 class Encoder:
-    """Ids of pre-tokens under one vocabulary."""
+    """Ids of texts under one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
-        self.ranks = ranks
-        self.longest = max(map(len, ranks))
         self.pattern = regex.compile(pattern)
+        self.ranks = {t: r for t, r in ranks.items() if len(t) == 1 or SEPARATOR not in t}  # others are in no text
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        self.two = np.full(1 << 16, -1)
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                self.two[token[0] << 8 | token[1]] = rank
         most = max(ranks.values()) + 1
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.buckets: list[list[int]] = [[] for _ in range(most)]  # positions by rank, heaps; empty between calls
+        self.buckets: list[list[int]] = [[] for _ in range(most)]  # positions by rank; empty between calls
         self.low = [0] * ((most >> WORD) + 1)
         self.known: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of one pre-token: always the least rank is merged, at its least position."""
-        rank_of, longest = self.ranks.get, self.longest
-        if piece in self.ranks:
-            return (self.ranks[piece],)
-        n, buckets, low, top, inside = len(piece), self.buckets, self.low, 0, (1 << WORD) - 1
-        ids = [self.single[b] for b in piece]  # of the symbol that starts here
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-        pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the symbol here and the next, -1 if none
-        pair.append(-1)
-        fresh = range(n - 1)
-        while True:
-            for at in fresh:  # file the new pairs
-                rank = pair[at]
-                if rank >= 0:
-                    bucket = buckets[rank]
-                    if bucket:
-                        heappush(bucket, at)
-                    else:
-                        bucket.append(at)
-                        word = rank >> WORD
-                        low[word] |= 1 << (rank & inside)
-                        top |= 1 << word
-            if not top:
-                break
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each pre-token: its pair of least rank is merged, the first of several, until there is none."""
+        rank_of, buckets, low, top, inside = self.ranks.get, self.buckets, self.low, 0, (1 << WORD) - 1
+        gap = bytes([SEPARATOR])
+        text = gap + gap.join(pieces) + gap + gap
+        data = np.frombuffer(text, np.uint8)
+        first = self.two[data[:-1].astype(np.int64) << 8 | data[1:]]
+        pair = [*first.tolist(), -1]  # rank of the symbol here and the next, -1 if none
+        ids = self.single[data].tolist()  # of the symbol that starts here
+        after, before = list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
+        some = np.flatnonzero(first >= 0)
+        some = some[np.argsort(first[some], kind="stable")]
+        used, begin = np.unique(first[some], return_index=True)
+        for rank, a, b in zip(used.tolist(), begin.tolist(), [*begin[1:].tolist(), len(some)]):
+            buckets[rank] = some[a:b].tolist()  # in order, so a heap
+            low[rank >> WORD] |= 1 << (rank & inside)
+            top |= 1 << (rank >> WORD)
+        while top:
             word = (top & -top).bit_length() - 1
             bits = low[word]
             rank = (word << WORD) + (bits & -bits).bit_length() - 1
             bucket = buckets[rank]
-            at = heappop(bucket)
+            least = rank
+            while bucket and least == rank:  # a new pair may have a lower rank
+                at = heappop(bucket)
+                if pair[at] != rank:
+                    continue  # stale
+                gone, left = after[at], before[at]
+                end = after[at] = after[gone]
+                before[end] = at
+                ids[at], ids[gone], pair[gone] = rank, -1, -1
+                pair[at] = right = rank_of(text[at : after[end]], -1)
+                pair[left] = new = rank_of(text[left:end], -1)
+                while True:
+                    if new >= 0:
+                        if least > new:
+                            least = new
+                        onto = buckets[new]
+                        if onto:
+                            heappush(onto, left)
+                        else:
+                            onto.append(left)
+                            low[new >> WORD] |= 1 << (new & inside)
+                            top |= 1 << (new >> WORD)
+                    if left == at:
+                        break
+                    new, left = right, at
             if not bucket:
-                low[word] = bits = bits & bits - 1
+                low[word] = bits = low[word] & ~(1 << (rank & inside))
                 if not bits:
-                    top &= top - 1
-            if pair[at] != rank:
-                fresh = ()  # stale
-                continue
-            gone, left = after[at], before[at]
-            end = after[at] = after[gone]
-            ids[at], pair[gone] = rank, -1
-            stop, before[end] = after[end] if end < n else n + longest, at
-            pair[at] = rank_of(piece[at:stop], -1) if stop - at <= longest else -1
-            if left < 0:
-                fresh = (at,)
+                    top &= ~(1 << word)
+        left = np.array(ids)
+        ends = np.cumsum([len(p) + 1 for p in pieces])  # each piece's separator
+        left[0], left[ends], left[-1] = -1, -1, -1
+        heads = np.concatenate([[0], np.cumsum(left >= 0)])[np.concatenate([[0], ends])].tolist()
+        flat = left[left >= 0].tolist()
+        return [tuple(flat[a:b]) for a, b in zip(heads, heads[1:])]
+
+    def lookup(self, pres: list[str]) -> dict[str, tuple[int, ...]]:
+        """A table that holds these pre-tokens: whole tokens by the vocabulary, known ones from memory, the others merged together."""
+        fresh = set(pres)
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older, ranks = self.known, self.older, self.ranks
+        found, rest = {}, []
+        for pre in fresh:
+            if pre not in known:
+                ids = older.get(pre)
+                if ids is None:
+                    piece = pre.encode()
+                    if piece in ranks:
+                        ids = (ranks[piece],)
+                    else:
+                        rest.append((pre, piece))
+                        continue
+                found[pre] = ids
+        if rest:
+            found |= zip([pre for pre, _ in rest], self.merge([piece for _, piece in rest]))
+        known |= found
+        if long := [p for p in found if len(p) > SHORT]:
+            whole = dict(known)
+            for p in long:
+                del known[p]
+            return whole
+        return known
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo + 1, len(texts[lo])
+            while hi < len(texts) and size + len(texts[hi]) <= BLOCK:
+                size += len(texts[hi])
+                hi += 1
+            if size > BLOCK:  # one long text, by parts
+                found, ids = (m[0] for m in self.pattern.finditer(texts[lo])), []
+                while pres := list(islice(found, PIECES)):
+                    ids += chain.from_iterable(map(self.lookup(pres).__getitem__, pres))
+                yield ids
             else:
-                pair[left] = rank_of(piece[left:end], -1) if end - left <= longest else -1
-                fresh = (left, at)
-        out, at = [], 0
-        while at < n:
-            out.append(ids[at])
-            at = after[at]
-        return tuple(out)
-
-    def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for found in self.pattern.finditer(text) if len(text) > 1 << 20 else self.pattern.findall(text):
-            pre = found if isinstance(found, str) else found[0]
-            ids = known.get(pre)
-            if ids is None:
-                ids = self.merge(pre.encode())
-                if len(pre) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[pre] = ids
-            out += ids
-        return out
+                split = [self.pattern.findall(t) for t in texts[lo:hi]]
+                table = self.lookup(list(chain.from_iterable(split)))
+                for pres in split:
+                    yield list(chain.from_iterable(map(table.__getitem__, pres)))
+            lo = hi
 
 
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, pattern: str) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(read_ranks(vocabulary), pattern)
     for batch in batches:
         packed, counts = [], []
-        for text in batch.column(1):
-            ids = np.array(encoder.encode(text.as_py() or ""), "<u4")
+        for found in encoder.encode([text.as_py() or "" for text in batch.column(1)]):
+            ids = np.array(found, "<u4")
             packed.append(ids.tobytes())
             counts.append(len(ids))
         yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["id", "n_tokens", "ids"])
