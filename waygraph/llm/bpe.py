@@ -22,6 +22,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +64,11 @@ class Encoder:
         most = max(ranks.values()) + 1
         self.buckets: list[list[int]] = [[] for _ in range(most)]  # positions by rank; empty between calls
         self.low = [0] * ((most >> WORD) + 1)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each pre-token: its pair of least rank is merged, the first of several, until there is none."""
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each pre-token: its pair of least rank is merged, the first of several, until there is none."""
         rank_of, buckets, low, top, inside = self.ranks.get, self.buckets, self.low, 0, (1 << WORD) - 1
         gap = bytes([SEPARATOR])
         text = gap + gap.join(pieces) + gap + gap
@@ -117,14 +118,14 @@ class Encoder:
                 low[word] = bits = low[word] & ~(1 << (rank & inside))
                 if not bits:
                     top &= ~(1 << word)
-        left = np.array(ids)
+        left = np.array(ids, np.int32)
         ends = np.cumsum([len(p) + 1 for p in pieces])  # each piece's separator
         left[0], left[ends], left[-1] = -1, -1, -1
         heads = np.concatenate([[0], np.cumsum(left >= 0)])[np.concatenate([[0], ends])].tolist()
-        flat = left[left >= 0].tolist()
-        return [tuple(flat[a:b]) for a, b in zip(heads, heads[1:])]
+        flat = left[left >= 0].astype("<u4").tobytes()
+        return [flat[4 * a : 4 * b] for a, b in zip(heads, heads[1:])]
 
-    def lookup(self, pres: list[str]) -> dict[str, tuple[int, ...]]:
+    def lookup(self, pres: list[str]) -> dict[str, bytes]:
         """A table that holds these pre-tokens: whole tokens by the vocabulary, known ones from memory, the others merged together."""
         fresh = set(pres)
         if len(self.known) + len(fresh) > REMEMBERED:
@@ -137,7 +138,7 @@ class Encoder:
                 if ids is None:
                     piece = pre.encode()
                     if piece in ranks:
-                        ids = (ranks[piece],)
+                        ids = ranks[piece].to_bytes(4, "little")
                     else:
                         rest.append((pre, piece))
                         continue
@@ -152,8 +153,8 @@ class Encoder:
             return whole
         return known
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text."""
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The packed ids of each text: unsigned 32-bit integers, the low byte first."""
         lo = 0
         while lo < len(texts):
             hi, size = lo + 1, len(texts[lo])
@@ -161,27 +162,24 @@ class Encoder:
                 size += len(texts[hi])
                 hi += 1
             if size > BLOCK:  # one long text, by parts
-                found, ids = (m[0] for m in self.pattern.finditer(texts[lo])), []
+                found, ids = (m[0] for m in self.pattern.finditer(texts[lo])), bytearray()
                 while pres := list(islice(found, PIECES)):
-                    ids += chain.from_iterable(map(self.lookup(pres).__getitem__, pres))
-                yield ids
+                    ids += b"".join(map(self.lookup(pres).__getitem__, pres))
+                yield bytes(ids)
             else:
                 split = [self.pattern.findall(t) for t in texts[lo:hi]]
                 table = self.lookup(list(chain.from_iterable(split)))
                 for pres in split:
-                    yield list(chain.from_iterable(map(table.__getitem__, pres)))
+                    yield b"".join(map(table.__getitem__, pres))
             lo = hi
 
 
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, pattern: str) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(read_ranks(vocabulary), pattern)
     for batch in batches:
-        packed, counts = [], []
-        for found in encoder.encode([text.as_py() or "" for text in batch.column(1)]):
-            ids = np.array(found, "<u4")
-            packed.append(ids.tobytes())
-            counts.append(len(ids))
-        yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["id", "n_tokens", "ids"])
+        ids = pa.array(encoder.encode([text.as_py() or "" for text in batch.column(1)]), pa.binary())
+        counts = pc.cast(pc.divide(pc.binary_length(ids), 4), pa.int64())
+        yield pa.record_batch([batch.column(0), counts, ids], ["id", "n_tokens", "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
