@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens whose ids a worker remembers (the last so many, and as many before them), and the longest of them in characters.
-REMEMBERED, SHORT = 250_000, 48
+REMEMBERED, SHORT = 120_000, 48
+#: Rows that are turned into Python objects at once.
+ROWS = 500
 #: Characters of the texts that are split and merged at once, and the pre-tokens of a longer text; small enough for a processor's cache.
 BLOCK, PIECES = 1 << 16, 16_384
 #: Buckets that share a word of the lower bitmap: 2 to this power. The upper bitmap has a bit for each word.
@@ -174,9 +176,15 @@ class Encoder:
             lo = hi
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, pattern: str) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(read_ranks(vocabulary), pattern)
-    for batch in batches:
+    for batch in _slices(batches):
         ids = pa.array(encoder.encode([text.as_py() or "" for text in batch.column(1)]), pa.binary())
         counts = pc.cast(pc.divide(pc.binary_length(ids), 4), pa.int64())
         yield pa.record_batch([batch.column(0), counts, ids], ["id", "n_tokens", "ids"])
@@ -184,7 +192,7 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, pattern: str) ->
 
 def _decode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     tokens = {rank: token for token, rank in read_ranks(vocabulary).items()}
-    for batch in batches:
+    for batch in _slices(batches):
         texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(0)]
         yield pa.record_batch([*batch.columns[1:], pa.array(texts, pa.binary())], [*batch.schema.names[1:], "decoded"])
 
