@@ -21,3 +21,23 @@ def running_total(df: DataFrame, order: str, value: Column, name: str = "before"
     zero = F.lit(0).cast("long")
     whole = dealt.join(F.broadcast(totals), "_range")  # a row for each range
     return whole.withColumn(name, F.coalesce("_earlier", zero) + F.coalesce(inside, zero)).drop("_range", "_value", "_earlier")
+
+
+def next_in_order(df: DataFrame, group: list[str], by: str, name: str = "after") -> DataFrame:
+    """Adds the next larger value of `by` within the group, null for its last; (group, by) are distinct and not null.
+
+    Rows are dealt by ranges of (group, by), so a large group is spread over
+    tasks; the last row of a range gets the first value of the next range.
+    """
+    key = F.struct(*group, by)
+    dealt = materialise(df.repartitionByRange(*group, by).withColumn("_range", F.spark_partition_id()), "ranges")
+    firsts = dealt.groupBy("_range").agg(F.min(key).alias("_first"))
+    # ranges without rows are absent, so numbers may skip
+    firsts = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_next"))
+    inside = F.lead(key).over(Window.partitionBy("_range").orderBy(*group, by))
+    both = dealt.withColumn("_inside", inside).join(F.broadcast(firsts), "_range")  # a row for each range
+    then = F.coalesce("_inside", "_next")
+    same = F.lit(True)
+    for g in group:
+        same = same & (then[g] == F.col(g))
+    return both.withColumn(name, F.when(same, then[by])).drop("_range", "_inside", "_next")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waygraph.functions.order import running_total
 from waygraph.loop import connected_components, materialise, release
 from waygraph.operators.paths import _loop, cheapest
 from waygraph.tables import Graph
@@ -71,20 +70,37 @@ def strong_components(graph: Graph) -> DataFrame:
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest of undirected edges (u, v, w), u < v, in the order (w, u, v), by Boruvka rounds: (u, v, w)."""
+    """Minimum spanning forest of undirected edges (u, v, w), u < v, in the order (w, u, v), by Boruvka rounds: (u, v, w).
+
+    In a round each part picks its least edge. Following the picks leads to the
+    two parts that picked the same edge; pointer doubling takes every part to
+    the smaller of those, whose name the joined part bears.
+    """
     left = materialise(edges.select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv")), "mst")
     tree = None
     while not left.isEmpty():
-        key = F.struct("w", "u", "v")
+        key = F.struct("w", "u", "v", "cu", "cv")
         ends = left.select(F.col("cu").alias("c"), key.alias("e")).unionAll(left.select(F.col("cv").alias("c"), key.alias("e")))
-        picked = materialise(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct().select("u", "v", "w"), "picked")
-        tree = picked if tree is None else tree.unionAll(picked)
-        joins = left.join(picked.select("u", "v"), ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        merged = materialise(connected_components(joins), "merged")
-        of = lambda c: merged.select(F.col("id").alias(c), F.col("component").alias(f"n{c}"))
-        after = left.join(of("cu"), "cu", "left").join(of("cv"), "cv", "left")
-        after = after.select("u", "v", "w", F.coalesce("ncu", "cu").alias("cu"), F.coalesce("ncv", "cv").alias("cv")).where("cu <> cv")
-        left = materialise(after, "mst")
+        picked = materialise(ends.groupBy("c").agg(F.min("e").alias("e")), "picked")
+        one = picked.select("e.u", "e.v", "e.w").distinct()
+        tree = one if tree is None else tree.unionAll(one)
+        other = F.when(F.col("c") == F.col("e.cu"), F.col("e.cv")).otherwise(F.col("e.cu"))
+        steps = picked.select("c", other.alias("to"), F.struct("e.u", "e.v").alias("e"))
+        theirs = steps.select(F.col("c").alias("to"), F.col("e").alias("same"))
+        top = (F.col("e") == F.col("same")) & (F.col("c") < F.col("to"))
+        merged = materialise(steps.join(theirs, "to").select("c", F.when(top, F.col("c")).otherwise(F.col("to")).alias("to")), "merged")
+        while True:
+            ahead = merged.select(F.col("c").alias("to"), F.col("to").alias("then"))
+            after = materialise(merged.join(ahead, "to").select("c", F.col("then").alias("to"), F.expr("to <> then").alias("moved")), "merged")
+            release(merged)
+            merged = after
+            if merged.where("moved").isEmpty():
+                break
+        of = lambda c: merged.select(F.col("c").alias(c), F.col("to").alias(f"n{c}"))
+        inner = left.join(of("cu"), "cu").join(of("cv"), "cv").where("ncu <> ncv")
+        after = materialise(inner.select("u", "v", "w", F.col("ncu").alias("cu"), F.col("ncv").alias("cv")), "mst")
+        release(left)
+        left = after
     return tree if tree is not None else edges.select("u", "v", "w")
 
 
@@ -96,57 +112,6 @@ def spanning_tree(graph: Graph, undirected: bool = True) -> DataFrame:
     return spanning_forest(up)
 
 
-def _rooted_forest(graph: Graph) -> tuple[DataFrame, DataFrame]:
-    """A breadth-first forest from each component's smallest id: (id, root, parent, depth), and the simple pairs (u, v)."""
-    pairs = materialise(graph.undirected().select("u", "v"), "pairs")
-    arcs = materialise(pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionAll(pairs.select(F.col("v").alias("src"), F.col("u").alias("dst"))), "arcs")
-    comp = materialise(components(graph), "comp")
-    start = comp.where("id = component").select(F.lit(0).alias("qid"), "id", F.lit(0.0).alias("d"))
-    depth, _ = _loop(arcs, start, F.col("d") + 1.0, 1_000_000)
-    depth = materialise(depth.select("id", F.col("d").cast("int").alias("depth")), "depth")
-    up = arcs.join(depth.select(F.col("id").alias("src"), F.col("depth").alias("ds")), "src").join(
-        depth.select(F.col("id").alias("dst"), F.col("depth").alias("dd")), "dst"
-    ).where("ds = dd - 1").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-    tree = depth.join(up, "id", "left").join(comp, "id").select("id", F.col("component").alias("root"), "parent", "depth")
-    return materialise(tree, "tree"), pairs
-
-
-def _low_high(graph: Graph) -> tuple[DataFrame, DataFrame]:
-    """Each node's preorder number, subtree size, and the least and greatest preorder that its subtree touches beside tree edges."""
-    tree, pairs = _rooted_forest(graph)
-    deepest = tree.agg(F.max("depth").alias("d")).first()["d"] or 0
-    last = size = materialise(tree.where(F.col("depth") == deepest).select("id", F.lit(1).cast("long").alias("size")), "size")
-    for level in range(deepest - 1, -1, -1):  # children before parents; a level reads the one below it only
-        child = tree.where(F.col("depth") == level + 1).join(last, "id").groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("below"))
-        here = tree.where(F.col("depth") == level).join(child, "id", "left").select("id", (1 + F.coalesce("below", F.lit(0))).alias("size"))
-        last = materialise(here, "size")
-        size = size.unionAll(last)
-    sized = materialise(tree.join(size, "id"), "sized")
-    brothers = Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    roots = running_total(sized.where("parent IS NULL"), "id", F.col("size"))
-    last = pre = materialise(roots.select("id", F.col("before").alias("pre")), "pre")
-    within = sized.where("parent IS NOT NULL").withColumn("before", F.coalesce(F.sum("size").over(brothers), F.lit(0)))
-    within = materialise(within, "within")
-    for level in range(1, deepest + 1):
-        here = within.where(F.col("depth") == level).join(last.select(F.col("id").alias("parent"), F.col("pre").alias("p")), "parent")
-        last = materialise(here.select("id", (F.col("p") + 1 + F.col("before")).alias("pre")), "pre")
-        pre = pre.unionAll(last)
-    nodes = materialise(sized.join(pre, "id"), "nodes")
-    number = lambda c: nodes.select(F.col("id").alias(c), F.col("pre").alias(f"p{c}"), F.col("parent").alias(f"up{c}"))
-    other = pairs.join(number("u"), "u").join(number("v"), "v").where("NOT (upu <=> v) AND NOT (upv <=> u)")
-    other = materialise(other.select("u", "v", "pu", "pv"), "other")
-    touch = other.select(F.col("u").alias("id"), F.col("pv").alias("t")).unionAll(other.select(F.col("v").alias("id"), F.col("pu").alias("t")))
-    own = nodes.join(touch.groupBy("id").agg(F.min("t").alias("lo"), F.max("t").alias("hi")), "id", "left")
-    own = materialise(own.select("id", "parent", "depth", "pre", "size", F.least("pre", "lo").alias("low"), F.greatest("pre", "hi").alias("high")), "own")
-    last = done = materialise(own.where(F.col("depth") == deepest), "low")
-    for level in range(deepest - 1, -1, -1):
-        below = last.groupBy(F.col("parent").alias("id")).agg(F.min("low").alias("l"), F.max("high").alias("h"))
-        here = own.where(F.col("depth") == level).join(below, "id", "left")
-        last = materialise(here.select("id", "parent", "depth", "pre", "size", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high")), "low")
-        done = done.unionByName(last)
-    return done, other
-
-
 def bridges(graph: Graph) -> DataFrame:
     """Bridges of the undirected simple projection: (u, v, isolated).
 
@@ -154,7 +119,9 @@ def bridges(graph: Graph) -> DataFrame:
     isolated the number of nodes on v's side. A tree edge is a bridge if nothing
     below it touches a preorder number outside of the subtree.
     """
-    low, _ = _low_high(graph)
+    from waygraph.operators.tour import low_high
+
+    low, _ = low_high(graph)
     cut = low.where("parent IS NOT NULL AND low >= pre AND high < pre + size")
     return cut.select(F.col("parent").alias("u"), F.col("id").alias("v"), F.col("size").alias("isolated"))
 
@@ -165,7 +132,9 @@ def articulation_points(graph: Graph) -> DataFrame:
     Two tree edges are in one block if a non-tree edge joins their subtrees or
     leaves the lower one past its parent; nodes that touch two blocks are the points.
     """
-    low, other = _low_high(graph)
+    from waygraph.operators.tour import low_high
+
+    low, other = low_high(graph)
     low = materialise(low, "low")
     number = lambda c: low.select(F.col("id").alias(c), F.col("pre").alias(f"p{c}"), F.col("size").alias(f"s{c}"))
     apart = other.select("u", "v").join(number("u"), "u").join(number("v"), "v").where("pu + su <= pv OR pv + sv <= pu").select("u", "v")
