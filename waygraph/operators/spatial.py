@@ -1,14 +1,14 @@
-"""Nearest-node and radius joins on a grid, convex hulls and isochrones."""
+"""Radius joins on a grid, convex hulls and isochrones."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.functions.geo import EARTH_RADIUS, euclidean, straight_line
-from waygraph.loop import materialise
+from waygraph.functions.geo import EARTH_RADIUS, straight_line
+from waygraph.operators.nearest import k_nearest  # noqa: F401  (a name of this module)
 
 
 def _cells(points: DataFrame, x: str, y: str, size: float) -> DataFrame:
@@ -24,42 +24,6 @@ def _around(points: DataFrame) -> DataFrame:
     )
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, k: int = 1, skip_self: bool = False) -> DataFrame:
-    """For each planar query (qid, qx, qy) the k nearest points (id, x, y), ties to the smaller id: (qid, id, dist).
-
-    Grid cells are joined by key. A query whose k-th distance is within one cell
-    is done; the others are tried again on cells twice as wide, so the result is
-    exact without comparing everything with everything.
-    """
-    box = points.agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).first()
-    if not box["n"]:
-        return queries.select("qid", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("dist")).limit(0)
-    wide = max(box["b"] - box["a"], box["d"] - box["c"], 1e-9)
-    size = wide / max(1.0, math.sqrt(box["n"] / (2.0 * (k + 1))))
-    far = queries.agg(F.max(F.greatest(F.abs("qx"), F.abs("qy"))).alias("m")).first()["m"] or 0.0
-    reach = wide + far + max(map(abs, (box["a"], box["b"], box["c"], box["d"])))
-    rank = Window.partitionBy("qid").orderBy("dist", "id")
-    left, done = queries.select("qid", "qx", "qy"), None
-    while True:
-        met = _around(_cells(left, "qx", "qy", size)).join(_cells(points.select("id", "x", "y"), "x", "y", size), ["cx", "cy"])
-        if skip_self:
-            met = met.where("qid <> id")
-        met = met.withColumn("dist", euclidean(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")))
-        best = met.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k)
-        last = size > reach
-        if not last:
-            sure = best.where(F.col("dist") <= size).groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") == k).select("qid")
-            best = best.join(sure, "qid", "left_semi")
-        best = materialise(best.select("qid", "id", "dist"), "near")
-        done = best if done is None else done.unionAll(best)
-        if last:
-            return done
-        left = materialise(left.join(best.select("qid").distinct(), "qid", "left_anti"), "left")
-        if left.isEmpty():
-            return done
-        size *= 4
-
-
 def _columns(row: Column, size: float, radius: float) -> Column:
     """Cells into which a row of latitudes is cut: each is as wide as the radius reaches from the rows beside it, one near a pole."""
     top = F.greatest(F.abs(row - 1), F.abs(row + 2)) * size

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waygraph.functions.order import running_total
@@ -21,15 +21,12 @@ DAY, GUARD = 86_400.0, 60.0
 
 def congestion_tiers(edges: DataFrame, seed: int = SEED) -> DataFrame:
     """Adds to edges(eid, w) the tier 0 to 4: the share of longer roads, moved by -1, 0 or 1 by a linear congruence on the id."""
-    # two levels: counts below each weight, then the order within it
-    below = edges.groupBy("w").agg(F.count("*").alias("n"))
-    sums = running_total(below, "w", F.col("n"))
     many = edges.agg(F.count("*").alias("m"))
-    rank = F.row_number().over(Window.partitionBy("w").orderBy("eid")) - 1 + F.col("before")
+    ordered = running_total(edges.withColumn("_order", F.struct("w", "eid")), "_order", F.lit(1).cast("long"), "rank")
     jitter = F.expr(f"(((eid % 2147483647) * 1103515245 + {seed}) div 65536) % 3 - 1")
-    ranked = edges.join(sums.select("w", "before"), "w").crossJoin(F.broadcast(many)).withColumn("rank", rank)
+    ranked = ordered.crossJoin(F.broadcast(many))  # one row
     tier = F.greatest(F.lit(0), F.least(F.lit(TIERS - 1), F.floor(F.col("rank") * TIERS / F.col("m")) + jitter))
-    return ranked.withColumn("tier", tier.cast("int")).drop("before", "m", "rank")
+    return ranked.withColumn("tier", tier.cast("int")).drop("_order", "m", "rank")
 
 
 def multiplier(tier: Column, seconds: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waygraph.functions import geo
 from waygraph.loop import materialise
-from waygraph.operators import analysis, directions, etl, harness, index, paths, spatial, timedep, trace, transit
+from waygraph.operators import analysis, directions, etl, harness, index, paths, spatial, timedep, trace, transit, trees
 from waygraph.plans import derive
 from waygraph.plans import oracles as o
 from waygraph.sources import csv as sources
@@ -114,7 +114,27 @@ def dijkstra_pairs(spark, sf):
 
 @query(_PAIR_SQL)
 def ch_pairs(spark, sf):
-    return index.Contraction.build(kept(derive.part_lattice(spark, sf)), max_rounds=8).pair_costs(lattice_pairs(spark))
+    return index.Contraction.build(kept(derive.part_lattice(spark, sf)), max_rounds=8, hops=3).pair_costs(lattice_pairs(spark))
+
+
+def _costs_of(graph: Graph, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The costs of paths that came as rows (qid, k, id), checked hop by hop."""
+    found = paths.path_costs(graph, trees.as_arrays(rows.withColumnRenamed("qid", "path")))
+    return pairs.select("qid").join(found, "qid", "left")
+
+
+@query(_PAIR_SQL)
+def ch_paths(spark, sf):
+    """Paths with all shortcuts unpacked, priced arc by arc."""
+    g, pairs = kept(derive.part_lattice(spark, sf)), lattice_pairs(spark)
+    return _costs_of(g, index.Contraction.build(g, max_rounds=8, hops=3).pair_paths(pairs), pairs)
+
+
+@query(_PAIR_SQL)
+def dijkstra_paths(spark, sf):
+    """Paths by parents in the labels and pointer doubling, priced arc by arc."""
+    g, pairs = kept(derive.part_lattice(spark, sf)), lattice_pairs(spark)
+    return _costs_of(g, trees.pair_paths(g, pairs), pairs)
 
 
 @query(f"""WITH RECURSIVE {o.LATTICE}, {PAIRS_SQL}, h(k, id, n) USING KEY (k, id) AS (SELECT q, a, 0 FROM pairs UNION (SELECT h.k, e.t, min(h.n + 1) FROM h JOIN e ON e.s = h.id LEFT JOIN recurring.h p ON p.k = h.k AND p.id = e.t WHERE p.id IS NULL GROUP BY 1, 2)),
@@ -499,6 +519,14 @@ def cch_pairs(spark, sf):
     return found.select("qid", F.round("cost", 4).alias("cost"))
 
 
+@query(_NATION_COSTS)
+def cch_paths(spark, sf):
+    """Paths with all shortcuts unpacked, priced arc by arc."""
+    g, pairs = kept(derive.nation_trade(spark, sf)), nation_pairs(spark)
+    rows = index.Hierarchy.build(g).customise().pair_paths(pairs)
+    return _costs_of(g, rows, pairs).select("qid", F.round("cost", 4).alias("cost"))
+
+
 @query(o.sssp(o.HIERARCHY.replace("SELECT s, t, w FROM h0 UNION ALL SELECT t, s, w FROM h0", "SELECT s, t, w * (1 + (s + t) % 4) AS w FROM h0 UNION ALL SELECT t, s, w * (1 + (s + t) % 4) FROM h0"),
               "SELECT id % 7, id, 0.0::DOUBLE FROM (SELECT CAST(range AS BIGINT) + 1000001 AS id FROM range(5))",
               "SELECT k + 0 AS source, id, d AS cost FROM r WHERE id < 1000"))
