@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.operators import analysis, etl, extract, harness, trace
+from waygraph.operators import analysis, etl, extract, harness, paths, trace
 from waygraph.plans import derive
 from waygraph.plans import oracles as o
-from waygraph.plans.queries import _STAIRS, _WAYS, ORACLES, _stairs, kept, query
+from waygraph.plans.queries import _WAYS, ORACLES, kept, query
 from waygraph.sources import sinks
 from waygraph.tables import Graph
 
@@ -31,9 +31,9 @@ def tile_merge(spark, sf):
     return extract.merge_tiles(derive.table(spark, sf, "events").selectExpr("event_type AS type", "user_id AS id", "event_id % 7 AS tile", "event_id AS event"))
 
 
-@query("SELECT range AS id, round(13 + range / 777.0, 5) AS lat, round(77 + range / 333.0, 5) AS lon FROM range(500)")
+@query("SELECT p_partkey AS id, round(13 + p_partkey / 777.0, 5) AS lat, round(77 + p_size / 333.0, 5) AS lon FROM part")
 def rounded_places(spark, sf):
-    return extract.rounded(spark.range(500).selectExpr("id", "13 + id / 777.0D AS lat", "77 + id / 333.0D AS lon"))
+    return extract.rounded(derive.table(spark, sf, "part").selectExpr("p_partkey AS id", "13 + p_partkey / 777.0D AS lat", "77 + p_size / 333.0D AS lon"))
 
 
 def _ways(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,32 +138,38 @@ def stop_links(spark, sf):
     return extract.stop_links(extract.route_stops(_relations(spark, sf), _stop_nodes(spark)))
 
 
-def _platforms(spark: SparkSession) -> DataFrame:
-    return _places(spark).selectExpr("id", "CASE id % 2 WHEN 0 THEN concat('St. ', id % 50) ELSE concat('st  ', id % 50) END AS name", "concat('Y', id % 4) AS system", "concat('C', id % 5) AS city", "lat + 0.0005D * (id div 100) AS lat", "lon")
+def _platforms(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as platforms: of 400 in a row four each share a place (within 200 metres), a name but for its spelling, and a city."""
+    return derive.table(spark, sf, "customer").selectExpr(
+        "c_custkey AS id", "concat(CASE c_custkey % 2 WHEN 0 THEN 'St. ' ELSE 'st  ' END, c_custkey div 400 * 50 + c_custkey % 50) AS name", "concat('Y', c_custkey % 4) AS system",
+        "concat('C', c_custkey % 5) AS city", "13 + ((c_custkey * 37) % 100) / 250.0D + 0.0005D * (c_custkey % 400 div 100) AS lat", "77 + ((c_custkey * 61) % 100) / 250.0D AS lon",
+    )
 
 
-_PLATFORMS = """pf AS (SELECT range AS id, CASE range % 2 WHEN 0 THEN 'St. ' ELSE 'st  ' END || (range % 50) AS name, 'Y' || (range % 4) AS system, 'C' || (range % 5) AS city,
- 13 + ((range * 37) % 100) / 250.0 + 0.0005 * (range // 100) AS lat, 77 + ((range * 61) % 100) / 250.0 AS lon FROM range(400)),
-ca AS (SELECT *, min(id) OVER g AS canonical, avg(lat) OVER g AS clat, avg(lon) OVER g AS clon FROM pf WINDOW g AS (PARTITION BY id % 100))"""
+_PLATFORMS = """pf AS (SELECT c_custkey AS id, CASE c_custkey % 2 WHEN 0 THEN 'St. ' ELSE 'st  ' END || (c_custkey // 400 * 50 + c_custkey % 50) AS name, 'Y' || (c_custkey % 4) AS system, 'C' || (c_custkey % 5) AS city,
+ 13 + ((c_custkey * 37) % 100) / 250.0 + 0.0005 * (c_custkey % 400 // 100) AS lat, 77 + ((c_custkey * 61) % 100) / 250.0 AS lon FROM customer),
+ca AS (SELECT *, min(id) OVER g AS canonical, avg(lat) OVER g AS clat, avg(lon) OVER g AS clon FROM pf WINDOW g AS (PARTITION BY id % 100, id // 400))"""
 
 
 @query(f"WITH {_PLATFORMS} SELECT id, canonical, round(clat, 9) AS lat, round(clon, 9) AS lon FROM ca")
 def merge_platforms(spark, sf):
-    return etl.merge_platforms(_platforms(spark)).select("id", "canonical", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+    return etl.merge_platforms(_platforms(spark, sf)).select("id", "canonical", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
 
 
-@query(f"""WITH {_PLATFORMS}, lk AS (SELECT range AS f, (range * 7 + 1) % 420 AS t, 'L' || (range % 3) AS line, (range % 9) * 10.0 AS seconds FROM range(900) WHERE range < 420),
+@query(f"""WITH {_PLATFORMS}, lk AS (SELECT id AS f, (id * 7 + 1) % (max(id) OVER () + 21) AS t, 'L' || (id % 3) AS line, (id % 9) * 10.0 AS seconds FROM pf),
 mv AS (SELECT lk.*, coalesce(a.canonical, f) AS a, coalesce(b.canonical, t) AS b FROM lk LEFT JOIN ca a ON a.id = f LEFT JOIN ca b ON b.id = t)
 SELECT a AS "from", b AS "to", line, seconds FROM (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b), line ORDER BY f, t) AS r FROM mv WHERE a <> b AND a IN (SELECT canonical FROM ca) AND b IN (SELECT canonical FROM ca)) WHERE r = 1""")
 def rewrite_links(spark, sf):
-    canonical = etl.merge_platforms(_platforms(spark))
-    links = spark.range(420).selectExpr("id AS `from`", "(id * 7 + 1) % 420 AS to", "concat('L', id % 3) AS line", "(id % 9) * 10.0D AS seconds")
+    canonical = etl.merge_platforms(_platforms(spark, sf))
+    ids = derive.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    most = ids.agg(F.max("id").alias("m"))  # one row
+    links = ids.crossJoin(F.broadcast(most)).selectExpr("id AS `from`", "(id * 7 + 1) % (m + 21) AS to", "concat('L', id % 3) AS line", "(id % 9) * 10.0D AS seconds")
     return extract.rewrite_links(links, canonical, canonical.select(F.col("canonical").alias("id")))
 
 
 @query(f"WITH {_PLATFORMS} SELECT id, row_number() OVER (ORDER BY city, system, name, id) AS number FROM pf")
 def renumber(spark, sf):
-    return extract.renumber(_platforms(spark)).select("id", "number")
+    return extract.renumber(_platforms(spark, sf)).select("id", "number")
 
 
 @query("SELECT l_orderkey AS id, row_number() OVER (ORDER BY l_orderkey) - 1 AS dense FROM (SELECT DISTINCT l_orderkey * 100003 AS l_orderkey FROM lineitem)")
@@ -181,21 +187,27 @@ def critical_bridges(spark, sf):
     return analysis.top(analysis.bridges(kept(derive.hierarchy(spark, sf))), "isolated", ["u", "v"])
 
 
-@query(f"WITH {_STAIRS} SELECT q AS qid, list(id ORDER BY k)[3] AS u, list(id ORDER BY k)[4] AS v FROM stairs GROUP BY q")
-def close_mid_route(spark, sf):
-    return harness.mid_route(_stairs(spark))
+#: From every seventh part a way of six roads over the lattice, where it has them.
+_ROUTES = """route AS (SELECT q, unnest([q, q + 1, q + 26, q + 27, q + 28, q + 53, q + 52]) AS id, unnest(range(7)) AS k FROM (SELECT p_partkey AS q FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 25 <= 21 AND p_partkey + 53 <= (SELECT max(p_partkey) FROM part)))"""
+
 
+def _routes(spark: SparkSession, sf: str) -> DataFrame:
+    part = derive.table(spark, sf, "part").select(F.col("p_partkey").alias("q"))
+    most = part.agg(F.max("q").alias("m"))  # one row
+    these = part.crossJoin(F.broadcast(most)).where("q % 7 = 0 AND q % 25 <= 21 AND q + 53 <= m")
+    return these.select(F.col("q").alias("qid"), F.array(*[F.col("q") + d for d in (0, 1, 26, 27, 28, 53, 52)]).alias("path"))
 
-@query("WITH s AS (" + ORACLES["scc"] + """), z AS (SELECT component, count(*) AS n FROM s GROUP BY 1 ORDER BY n DESC, component LIMIT 1),
-m AS (SELECT s.id, row_number() OVER (ORDER BY s.id) - 1 AS k, z.n FROM s JOIN z ON z.component = s.component)
-SELECT max(CASE WHEN k = floor(n * 0.15) THEN id END) AS src, max(CASE WHEN k = floor(n * 0.85) THEN id END) AS dst FROM m""")
-def default_endpoints(spark, sf):
-    return harness.default_endpoints(kept(derive.rows_lattice(spark, sf)))
+
+@query(f"WITH {_ROUTES} SELECT q AS qid, list(id ORDER BY k)[3] AS u, list(id ORDER BY k)[4] AS v FROM route GROUP BY q")
+def close_mid_route(spark, sf):
+    return harness.mid_route(_routes(spark, sf))
 
 
-@query(f"WITH {_STAIRS}, {o.LATTICE}, c AS (SELECT q, count(*) AS n FROM stairs GROUP BY q) SELECT q AS qid, n * 10 * f AS cutoff FROM c, (SELECT unnest([0.25, 0.6, 1.0])::DOUBLE AS f)")
+@query(f"""WITH {o.LATTICE}, {_ROUTES}, s AS (SELECT q, id, lead(id) OVER (PARTITION BY q ORDER BY k) AS nx FROM route), b AS (SELECT s, t, min(w) AS w FROM e GROUP BY 1, 2),
+c AS (SELECT q, sum(b.w) AS cost FROM s JOIN b ON b.s = s.id AND b.t = s.nx GROUP BY q) SELECT q AS qid, cost * f AS cutoff FROM c, (SELECT unnest([0.25, 0.6, 1.0])::DOUBLE AS f)""")
 def auto_cutoffs(spark, sf):
-    return harness.auto_cutoffs(_stairs(spark).select("qid", (F.size("path") * 10.0).alias("cost")))
+    """Cutoffs from what the routes cost over the lattice."""
+    return harness.auto_cutoffs(paths.path_costs(derive.part_lattice(spark, sf), _routes(spark, sf)))
 
 
 # ---- sinks

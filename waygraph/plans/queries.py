@@ -93,11 +93,15 @@ def bellman_ford(spark, sf):
     return paths.bellman_ford(kept(_accounts(spark, sf)), one(spark, 0))[0].select("id", F.round("cost", 6).alias("cost"))
 
 
-@query("WITH RECURSIVE e(s, t, w) AS (VALUES (0, 1, 1.0), (1, 2, -3.0), (2, 0, 1.0)), r(a, id, k, d) AS (SELECT s, s, 0, 0.0 FROM e UNION ALL SELECT a, t, k + 1, d + w FROM r JOIN e ON s = id WHERE k < 3) "
-       "SELECT bool_or(d < 0) FILTER (WHERE a = 0) AS declined_bellman_ford, bool_or(d < 0) AS declined_johnson FROM r WHERE id = a AND k > 0")
+@query("""WITH way AS (SELECT n_regionkey AS r, 1.0 - count(*) AS around FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey)
+SELECT coalesce(bool_or(around < 0) FILTER (WHERE r = 0), false) AS declined_bellman_ford, bool_or(around < 0) AS declined_johnson FROM way""")
 def negative_cycle(spark, sf):
-    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, -3.0), (2, 0, 1.0)], "src long, dst long, w double")
-    graph = kept(Graph(spark.range(3).selectExpr("id", *derive.NO_PLACE), edges))
+    """Region to nation for 1, and back for less the more suppliers a nation has: all ways around are of two arcs."""
+    n, s = derive.table(spark, sf, "nation"), derive.table(spark, sf, "supplier")
+    back = n.join(s, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_nationkey").agg((-F.count("*")).cast("double").alias("w"))
+    r, k = F.col("n_regionkey").cast("long"), F.col("n_nationkey").cast("long") + 1000
+    edges = back.select(r.alias("src"), k.alias("dst"), F.lit(1.0).alias("w")).unionAll(back.select(k.alias("src"), r.alias("dst"), "w"))
+    graph = kept(Graph(edges.select(F.col("src").alias("id")).distinct().selectExpr("id", *derive.NO_PLACE), edges))
     settled = paths.bellman_ford(graph, one(spark, 0))[1]
     declined = paths.johnson(graph, one(spark, 0)) is None
     return spark.createDataFrame([(not settled, declined)], "declined_bellman_ford boolean, declined_johnson boolean")
@@ -483,15 +487,13 @@ _H2 = "(2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians(g.y - st.lat) / 2
 
 @query(f"""WITH {_STATIONS}, {o.POINTS}, g AS (SELECT id, 77 + x AS x, 13 + y AS y FROM pts),
 near AS (SELECT st.id + 1000000000 AS q, g.id, {_eq('st', 'g')} AS m, {_H2} <= 3000 AS ok FROM st, g), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY m, id) AS r FROM near WHERE ok),
-any_ AS (SELECT DISTINCT q FROM r) SELECT q, id, round(m / 1.35 + 180, 4) AS board FROM r WHERE r <= 4""")
+alone AS (SELECT q, arg_min(id, [m, id]) AS id, min(m) AS m FROM near WHERE q NOT IN (SELECT q FROM r) GROUP BY q)
+SELECT q, id, round(m / 1.35 + 180, 4) AS board FROM r WHERE r <= 4 UNION ALL SELECT q, id, round(m / 1.35 + 180, 4) FROM alone""")
 def transit_combine(spark, sf):
-    """The walks to stations that have road nodes within 3 km."""
+    """The walks to all stations, from the nearest road nodes within 3 km or else from the nearest of all."""
     road = Graph(derive.plane_points(spark, sf).selectExpr("id", "77 + x AS x", "13 + y AS y"), spark.createDataFrame([], "src long, dst long, w double"), "geographic")
-    s = _stations(spark, sf)
-    both = transit.combine(road, s, _transit_links(spark, sf), radius=3000.0)
-    near = spatial.within(s.selectExpr("id + 1000000000 AS qid", "lon AS qx", "lat AS qy"), road.nodes, 3000.0, "geographic").select("qid").distinct()
-    walks = both.edges.where("src < 1000000000 AND dst >= 1000000000").select(F.col("dst").alias("q"), F.col("src").alias("id"), F.round("w", 4).alias("board"))
-    return walks.join(near, walks["q"] == near["qid"], "left_semi")
+    both = transit.combine(road, _stations(spark, sf), _transit_links(spark, sf), radius=3000.0)
+    return both.edges.where("src < 1000000000 AND dst >= 1000000000").select(F.col("dst").alias("q"), F.col("src").alias("id"), F.round("w", 4).alias("board"))
 
 
 # ---- indices, extracts, traces and races
