@@ -42,6 +42,13 @@ def travel_time(w: Column, tier: Column, seconds: Column, speed: float = SPEED)
     return w / (speed if speed > 0 else SPEED) * multiplier(tier, seconds)
 
 
+def congestion_range(tier: Column) -> Column:
+    """How many times its quickest hour an arc of this tier takes in its slowest; 1 if it never takes any."""
+    hours = [1 + tier / (TIERS - 1) * (c - 1) for c in (min(WEEKDAY), max(WEEKDAY))]
+    low, high = F.least(*hours), F.greatest(*hours)
+    return F.when(low > 0, high / low).otherwise(F.lit(1.0))
+
+
 def arrival(w: Column, tier: Column, seconds: Column, speed: float = SPEED) -> Column:
     """Arrival time; who leaves later doesn't arrive before one who left a minute earlier."""
     before = seconds - GUARD

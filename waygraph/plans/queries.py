@@ -404,6 +404,12 @@ def td_travel_time(spark, sf):
     return edges.crossJoin(F.broadcast(hours)).select("eid", "hour", F.round(timedep.travel_time(F.col("w"), F.col("tier"), F.col("hour") * 1800.0), 6).alias("secs"))
 
 
+@query(f"WITH {_TIMED}, m AS (SELECT eid, [1 + tier / 4.0 * (c - 1) FOR c IN {_CURVE}] AS m FROM ranked) SELECT eid, round(list_max(m) / list_min(m), 9) AS range FROM m")
+def td_congestion_range(spark, sf):
+    edges = timedep.congestion_tiers(_timed_lattice(spark, sf))
+    return edges.select("eid", F.round(timedep.congestion_range(F.col("tier")), 9).alias("range"))
+
+
 _SP_TIMED = f"""{o.SUPPLIER_PART}, el AS (SELECT s * 1000003 + t AS eid, s, t, w * 40 AS w FROM e), {_TIER}"""
 _ARRIVE = f"greatest(r.d + {_secs('x.w', 'x.tier', 'r.d')}, r.d - 60.0 + {_secs('x.w', 'x.tier', 'r.d - 60.0')})"
 
@@ -515,6 +521,16 @@ def alt_pairs(spark, sf):
     return found.select("qid", F.round("cost", 4).alias("cost"))
 
 
+@query(o.sssp(f"{o.NATION_TRADE}, {_NATION_PAIRS_SQL}", "SELECT id, id, 0.0::DOUBLE FROM (SELECT s AS id FROM e UNION SELECT t FROM e)",
+              """SELECT DISTINCT pairs.a AS v, pairs.b AS t, round(greatest(0.0, va.d - ta.d, tb.d - vb.d), 4) AS bound FROM pairs, (SELECT min(s) AS mark FROM e)
+ JOIN r va ON va.k = a AND va.id = mark JOIN r ta ON ta.k = b AND ta.id = mark JOIN r vb ON vb.k = mark AND vb.id = a JOIN r tb ON tb.k = mark AND tb.id = b"""))
+def alt_bounds(spark, sf):
+    """What one landmark, the smallest node, says of each pair at least."""
+    marks = index.Landmarks.build(kept(derive.nation_trade(spark, sf)), k=1)
+    found = marks.lower_bounds(nation_pairs(spark).select(F.col("src").alias("v"), F.col("dst").alias("t")))
+    return found.select("v", "t", F.round("bound", 4).alias("bound"))
+
+
 @query(_NATION_COSTS)
 def cch_pairs(spark, sf):
     found = index.Hierarchy.build(kept(derive.nation_trade(spark, sf))).customise().pair_costs(nation_pairs(spark))
