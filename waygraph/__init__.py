@@ -13,7 +13,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: The names for users, and where they are; a module is imported when one of its names is first used.
 _API = {
     "Graph": "tables:Graph", "load": "sources.csv:read_graph_dir", "load_lines": "sources.csv:read_graph", "from_arrays": "sources.csv:from_rows",
-    "load_transit": "sources.csv:read_transit", "algorithms": "operators.harness:algorithms", "register": "operators.harness:register", "route": "operators.harness:route",
+    "load_transit": "sources.csv:read_transit", "load_transit_lines": "sources.csv:read_transit_lines", "algorithms": "operators.harness:algorithms", "register": "operators.harness:register", "route": "operators.harness:route",
     "race": "operators.harness:race", "verify": "operators.harness:verify", "default_endpoints": "operators.harness:default_endpoints",
     "AltIndex": "operators.index:Landmarks", "ContractionHierarchy": "operators.index:Contraction", "CustomizableCH": "operators.index:Hierarchy",
     "k_shortest_paths": "operators.paths:k_shortest", "path_cost": "operators.paths:path_costs", "reconstruct_path": "operators.paths:least_paths",

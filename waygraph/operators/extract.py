@@ -44,8 +44,18 @@ def tiles(boxes: DataFrame, most: float = TILE) -> DataFrame:
     )
 
 
-def merge_tiles(elements: DataFrame) -> DataFrame:
-    """One row for each (type, id) of elements(type, id, tile, ...): that of the least tile."""
+def empty_tiles(asked: DataFrame, elements: DataFrame) -> DataFrame:
+    """The rows of asked(tile, ...) for which no element of elements(tile, ...) came: the extract would have a hole there."""
+    return asked.join(elements.select("tile").distinct(), "tile", "left_anti")
+
+
+def merge_tiles(elements: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """One row for each (type, id) of elements(type, id, tile, ...): that of the least tile.
+
+    With the tiles asked(tile, ...) for, one that is empty raises ValueError.
+    """
+    if asked is not None and (hole := empty_tiles(asked, elements).agg(F.count("*").alias("n"), F.min("tile").alias("tile")).first())["n"]:
+        raise ValueError(f"{hole['n']} tiles are empty, the first is {hole['tile']}")
     rest = [c for c in elements.columns if c not in ("type", "id", "tile")]
     kept = elements.groupBy("type", "id").agg(F.min(F.struct("tile", *rest)).alias("e"))
     return kept.select("type", "id", *[F.col(f"e.{c}").alias(c) for c in ["tile", *rest]])

@@ -99,17 +99,33 @@ def from_rows(spark: SparkSession, nodes: list, edges: list, geographic: bool =
     return read_graph(n, e, "geographic" if geographic else "planar", lenient=False)[0]
 
 
-def read_transit(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """`stations.csv` and `links.csv` with quoted fields, read strictly: a link to an unknown station raises InputError."""
+#: The columns of transit files.
+STATION_FIELDS = "id long, name string, system string, city string, lat double, lon double"
+LINK_FIELDS = "`from` long, to long, line string, seconds double"
+
+
+def _known_links(stations: DataFrame, links: DataFrame) -> DataFrame:
     from waygraph.operators.transit import check_links
 
-    read = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
-    stations = read.schema("id long, name string, system string, city string, lat double, lon double").csv(f"{path}/stations.csv")
-    links = read.schema("`from` long, to long, line string, seconds double").csv(f"{path}/links.csv")
     good, bad = check_links(stations, links)
     if first := bad.first():
         raise InputError(f"links: unknown station in {first['from']} to {first['to']}")
-    return stations, good
+    return good.select("from", "to", "line", "seconds")
+
+
+def read_transit(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """`stations.csv` and `links.csv` with quoted fields, read strictly: a link to an unknown station raises InputError."""
+    read = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
+    stations = read.schema(STATION_FIELDS).csv(f"{path}/stations.csv")
+    return stations, _known_links(stations, read.schema(LINK_FIELDS).csv(f"{path}/links.csv"))
+
+
+def read_transit_lines(stations: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Like `read_transit`, from lines(line, text) of the two files, line 1 being the header; a field must not hold a line feed."""
+    how = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
+    parsed = lambda lines, fields: lines.where("line > 1 AND trim(text) <> ''").select(F.from_csv("text", fields, how).alias("r")).select("r.*")
+    known = parsed(stations, STATION_FIELDS)
+    return known, _known_links(known, parsed(links, LINK_FIELDS))
 
 
 def grid(spark: SparkSession, width: int, height: int) -> Graph:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waygraph.functions.order import running_total
+from waygraph.loop import materialise
 from waygraph.operators.etl import dense_ids
 from waygraph.tables import Graph
 
@@ -87,6 +89,21 @@ def geometry_buffers(graph: Graph) -> DataFrame:
     return graph.nodes.select("id", "x", "y").repartitionByRange("id").sortWithinPartitions("id").mapInArrow(_pack, "first long, n long, xy binary")
 
 
+def _pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            uv = b.select(["u", "v"]).to_pandas().to_numpy("<i4")
+            yield pa.record_batch([b.column(0).slice(0, 1), pa.array([b.num_rows], pa.int64()), pa.array([uv.tobytes()], pa.binary())], ["first", "n", "uv"])
+
+
+def edge_buffers(graph: Graph) -> DataFrame:
+    """(first, n, uv): runs of the edges by (src, dst), n of them from the source `first` on, as pairs of little-endian 32-bit places of their ends in `geometry_buffers`' order."""
+    placed = materialise(running_total(graph.nodes.select("id"), "id", F.lit(1).cast("long"), "at").select("id", "at"), "places")
+    at = lambda end, name: placed.select(F.col("id").alias(end), F.col("at").cast("int").alias(name))  # noqa: E731  (more than 2^31 nodes is an error)
+    pairs = graph.edges.select("src", "dst").join(at("src", "u"), "src").join(at("dst", "v"), "dst").select("src", "u", "v")
+    return pairs.repartitionByRange("u", "v").sortWithinPartitions("u", "v").mapInArrow(_pack_pairs, "first long, n long, uv binary")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV files with headers, quotes doubled inside quotes."""
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
