@@ -15,7 +15,7 @@ WEEKDAY = (
     1.55, 1.55, 1.50, 1.60, 1.85, 2.30, 2.60, 2.40, 1.90, 1.50, 1.25, 1.08,
 )
 TIERS = 5
-SPEED, SEED = 11.1, 20260908
+SPEED, SEED = 11.1, 271828
 DAY, GUARD = 86_400.0, 60.0
 
 

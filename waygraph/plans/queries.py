@@ -380,7 +380,7 @@ def path_cost(spark, sf):
 
 # ---- time of day
 
-_TIER = """ranked AS (SELECT *, greatest(0, least(4, floor((row_number() OVER (ORDER BY w, eid) - 1) * 5.0 / count(*) OVER ()) + (((eid % 2147483647) * 1103515245 + 20260908) // 65536) % 3 - 1)) AS tier FROM el)"""
+_TIER = """ranked AS (SELECT *, greatest(0, least(4, floor((row_number() OVER (ORDER BY w, eid) - 1) * 5.0 / count(*) OVER ()) + (((eid % 2147483647) * 1103515245 + 271828) // 65536) % 3 - 1)) AS tier FROM el)"""
 _CURVE = "[1.00, 1.00, 1.00, 1.00, 1.02, 1.10, 1.35, 1.80, 2.35, 2.55, 2.05, 1.70, 1.55, 1.55, 1.50, 1.60, 1.85, 2.30, 2.60, 2.40, 1.90, 1.50, 1.25, 1.08]::DOUBLE[]"
 
 
