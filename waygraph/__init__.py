@@ -17,7 +17,7 @@ _API = {
     "race": "operators.harness:race", "verify": "operators.harness:verify", "default_endpoints": "operators.harness:default_endpoints",
     "AltIndex": "operators.index:Landmarks", "ContractionHierarchy": "operators.index:Contraction", "CustomizableCH": "operators.index:Hierarchy",
     "k_shortest_paths": "operators.paths:k_shortest", "path_cost": "operators.paths:path_costs", "reconstruct_path": "operators.paths:least_paths",
-    "shortest_paths": "operators.trees:pair_paths", "shortest_tree": "operators.trees:shortest_tree", "trace_back": "operators.trees:trace_back",
+    "shortest_paths": "operators.trees:pair_paths", "greedy_paths": "operators.greedy:greedy_paths", "shortest_tree": "operators.trees:shortest_tree", "trace_back": "operators.trees:trace_back",
     "congestion_range": "operators.timedep:congestion_range", "congestion_tiers": "operators.timedep:congestion_tiers", "earliest_arrival": "operators.timedep:earliest_arrivals", "scan_departures": "operators.timedep:scan_departures",
     "bridges": "operators.analysis:bridges", "articulation_points": "operators.analysis:articulation_points", "components": "operators.analysis:components",
     "strongly_connected_components": "operators.analysis:strong_components", "betweenness_centrality": "operators.analysis:betweenness",

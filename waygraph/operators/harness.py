@@ -12,6 +12,7 @@ from waygraph.functions.order import running_total
 from waygraph.loop import materialise
 from waygraph.operators import index, paths
 from waygraph.operators.analysis import strong_components
+from waygraph.operators.greedy import greedy
 from waygraph.tables import Graph
 
 Run = Callable[[Graph, DataFrame], DataFrame | None]
@@ -59,6 +60,7 @@ register("bellmanford", _from_sources(lambda g, s: (lambda r: r[0] if r[1] else
 register("johnson", _from_sources(paths.johnson), negative=True)
 register("floydwarshall", _from_table(paths.all_pairs), negative=True)
 register("bfs", paths.fewest_hops, optimal=False)
+register("greedy", lambda g, p: greedy(g, p).select("qid", "cost"), optimal=False, needs_places=True)
 register("alt", lambda g, p: index.Landmarks.build(g, 4).pair_costs(p))
 register("ch", lambda g, p: index.Contraction.build(g).pair_costs(p))
 register("cch", lambda g, p: index.Hierarchy.build(g).customise().pair_costs(p))
@@ -86,7 +88,7 @@ def race(graph: Graph, pairs: DataFrame, keys: list[str] | None = None) -> DataF
     out = materialise(out, "race")
     best = out.where("claims").groupBy("qid").agg(F.min("cost").alias("best"))
     verdict = F.when(F.col("declined"), "declined").when(F.col("cost").isNull(), "no path").when(F.col("cost") <= F.col("best") + 1e-6, "optimal").otherwise("suboptimal")
-    return out.join(best, "qid").select("algorithm", "qid", "cost", verdict.alias("verdict"))
+    return out.join(best, "qid", "left").select("algorithm", "qid", "cost", verdict.alias("verdict"))
 
 
 def default_endpoints(graph: Graph) -> DataFrame:

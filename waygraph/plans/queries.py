@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waygraph.functions import geo
 from waygraph.loop import materialise
-from waygraph.operators import analysis, directions, etl, harness, index, paths, spatial, timedep, trace, transit, trees
+from waygraph.operators import analysis, directions, etl, greedy, harness, index, paths, spatial, timedep, trace, transit, trees
 from waygraph.plans import derive
 from waygraph.plans import oracles as o
 from waygraph.sources import csv as sources
@@ -153,6 +153,24 @@ def astar_pairs(spark, sf):
     return paths.pair_costs(kept(derive.part_lattice(spark, sf)), lattice_pairs(spark), goal_directed=True)
 
 
+#: Best-first search with the waiting and the seen nodes of a pair as lists in its row.
+_GREEDY_SQL = f"""WITH RECURSIVE {o.ONEWAY}, {PAIRS_SQL}, adj AS (SELECT s, list({{'t': t, 'w': w}}) AS outs FROM (SELECT s, t, min(w) AS w FROM e GROUP BY 1, 2) GROUP BY 1),
+r(q, goal, waits, seen, cost, hops) AS (SELECT q, b, [{{'h': 0.0::DOUBLE, 'id': a, 'g': 0.0::DOUBLE, 'k': 0}}], [a], NULL::DOUBLE, NULL::INTEGER FROM pairs UNION ALL
+ SELECT q, goal, list_concat(list_filter(waits, lambda o: o.id <> head.id), list_transform(fresh, lambda n: {{'h': sqrt(CAST((n.t % 25 - goal % 25) * (n.t % 25 - goal % 25) + (n.t // 25 - goal // 25) * (n.t // 25 - goal // 25) AS DOUBLE)), 'id': n.t, 'g': head.g + n.w, 'k': head.k + 1}})),
+  list_concat(seen, list_transform(fresh, lambda n: n.t)), CASE WHEN head.id = goal THEN head.g END, CASE WHEN head.id = goal THEN head.k END
+ FROM (SELECT h.*, list_filter(coalesce(outs, []), lambda n: NOT list_contains(seen, n.t)) AS fresh FROM (SELECT *, list_sort(waits)[1] AS head FROM r WHERE len(waits) > 0 AND cost IS NULL) h LEFT JOIN adj ON adj.s = head.id))
+SELECT q AS qid, max(cost) AS cost, max(hops) AS hops FROM r GROUP BY q"""
+
+
+@query(_GREEDY_SQL)
+def greedy_pairs(spark, sf):
+    """Paths as rows, priced arc by arc."""
+    g, pairs = kept(derive.oneway_lattice(spark, sf)), lattice_pairs(spark)
+    rows = materialise(greedy.greedy_paths(g, pairs), "walks")
+    long = rows.groupBy("qid").agg(F.max("k").cast("int").alias("hops"))
+    return _costs_of(g, rows, pairs).join(long, "qid", "left")
+
+
 SUPPLIER_PAIRS = [(q, 10_000_000 + q, 10_000_009 - q) for q in range(5)]
 _SUPPLIER_PAIRS_SQL = "pairs(q, a, b) AS (VALUES " + ", ".join(f"({q}, {a}::BIGINT, {b}::BIGINT)" for q, a, b in SUPPLIER_PAIRS) + ")"
 
