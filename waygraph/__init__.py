@@ -24,7 +24,7 @@ _API = {
     "minimum_spanning_tree": "operators.analysis:spanning_tree", "max_flow": "operators.analysis:max_flow", "min_cut": "operators.analysis:min_cut",
     "isochrone": "operators.spatial:isochrone", "convex_hull": "operators.spatial:convex_hull", "nearest": "operators.spatial:k_nearest", "within": "operators.spatial:within",
     "directions": "operators.directions:build_directions", "filter_network": "operators.transit:filter_network", "rail_only": "operators.transit:rail_only",
-    "combine": "operators.transit:combine", "coordinates": "sources.sinks:coordinates", "edge_list": "sources.sinks:edge_list", "follow_closures": "streaming.closures:follow_closures",
+    "combine": "operators.transit:combine", "coordinates": "sources.sinks:coordinates", "edge_list": "sources.sinks:edge_list", "publish": "surface:publish", "publish_places": "surface:publish_places", "follow_closures": "streaming.closures:follow_closures",
 }
 __all__ = sorted(_API)
 

@@ -13,6 +13,7 @@ from waygraph.operators import analysis, directions, etl, greedy, harness, index
 from waygraph.plans import derive
 from waygraph.plans import oracles as o
 from waygraph.sources import csv as sources
+from waygraph.surface import publish, publish_places
 from waygraph.tables import Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -637,3 +638,40 @@ def race(spark, sf):
     half = kept(Graph(g.nodes, g.edges.withColumn("w", F.col("w") + 0.5)))
     pairs = spark.createDataFrame([(0, 0, 1000), (1, 1000, 0), (2, 1, 1), (100, 0, 77)], "qid int, src long, dst long")
     return harness.race(half, pairs, ["dijkstra", "bidijkstra", "bellmanford", "johnson", "dial"]).select("algorithm", "qid", "verdict")
+
+
+# ---- through SQL
+
+
+@query(o.sssp(o.HIERARCHY, "SELECT id, id, 0.0::DOUBLE FROM (SELECT DISTINCT CAST(s_suppkey % 25 AS BIGINT) + 1000 AS id FROM supplier)",
+              "SELECT s_suppkey AS qid, r.d AS cost FROM supplier LEFT JOIN r ON r.k = s_suppkey % 25 + 1000 AND r.id = s_suppkey + 1000000"))
+def sql_routes(spark, sf):
+    """From every supplier to the nation that its key names."""
+    publish(kept(derive.hierarchy(spark, sf)), "tree")
+    derive.table(spark, sf, "supplier").createOrReplaceTempView("tree_asked")
+    return spark.sql(
+        "SELECT q.s_suppkey AS qid, min(f.cost + t.cost) AS cost FROM tree_asked q LEFT JOIN tree_from f ON f.id = q.s_suppkey + 1000000 "
+        "LEFT JOIN tree_to t ON t.hub = f.hub AND t.id = CAST(q.s_suppkey % 25 AS BIGINT) + 1000 GROUP BY q.s_suppkey"
+    )
+
+
+@query(o.sssp(o.HIERARCHY, "SELECT id, id, 0.0::DOUBLE FROM (SELECT CAST(n_nationkey AS BIGINT) + 1000 AS id FROM nation)",
+              "SELECT r.k AS qid, r.id, r.d AS cost FROM r WHERE r.d <= 4"))
+def sql_isochrones(spark, sf):
+    """What every nation reaches."""
+    publish(kept(derive.hierarchy(spark, sf)), "tree")
+    derive.table(spark, sf, "nation").selectExpr("CAST(n_nationkey AS bigint) + 1000 AS a").createOrReplaceTempView("tree_asked")
+    return spark.sql(
+        "SELECT q.a AS qid, t.id, min(f.cost + t.cost) AS cost FROM tree_asked q JOIN tree_from f ON f.id = q.a AND f.cost <= 4 "
+        "JOIN tree_to t ON t.hub = f.hub AND f.cost + t.cost <= 4 GROUP BY q.a, t.id"
+    )
+
+
+@query(f"WITH {o.POINTS}, d AS (SELECT id, sqrt(power(x - 0.05, 2) + power(y + 0.02, 2)) AS dist FROM pts) SELECT id, round(dist, 9) AS dist, "
+       "coalesce(id = (SELECT arg_min(id, {'d': dist, 'id': id}) FROM d WHERE dist <= 0.2), false) AS closest FROM d WHERE dist <= 0.2")
+def sql_around(spark, sf):
+    publish_places(Graph(derive.plane_points(spark, sf), spark.createDataFrame([], "src long, dst long, w double"), "planar"), "plane")
+    return spark.sql(
+        "SELECT a.id, round(a.dist, 9) AS dist, n.id IS NOT NULL AS closest FROM plane_around(0.05D, -0.02D, 0.2D) a "
+        "LEFT JOIN plane_nearest(0.05D, -0.02D, 0.2D) n ON n.id = a.id"
+    )
