@@ -283,11 +283,43 @@ def max_flow(spark, sf):
     return residual.select("src", "dst", F.round("c", 2).alias("residual"), F.lit(round(value, 2)).alias("value"))
 
 
-@query()
+#: Augmenting paths over a list of all residual capacities: a row is a level of a breadth-first search, or the change along a path found.
+_CUT_SQL = f"""WITH RECURSIVE {o.NATION_TRADE},
+cap AS (SELECT list(coalesce(w, 0.0) ORDER BY i, j) AS c FROM (SELECT i.range AS i, j.range AS j FROM range(25) i, range(25) j) g LEFT JOIN e ON e.s = g.i AND e.t = g.j),
+r(n, c, par, front) AS (SELECT 0, c, list_transform(range(25), lambda i: CASE WHEN i = 0 THEN 0 ELSE -1 END), [0::BIGINT] FROM cap UNION ALL
+ SELECT n + 1, CASE WHEN hit THEN list_transform(range(625), lambda k: c[k + 1] - CASE WHEN list_contains(way, k) THEN least_c ELSE 0 END + CASE WHEN list_contains(way, k % 25 * 25 + k // 25) THEN least_c ELSE 0 END) ELSE c END,
+  CASE WHEN hit THEN list_transform(range(25), lambda i: CASE WHEN i = 0 THEN 0 ELSE -1 END) ELSE par END, CASE WHEN hit THEN [0::BIGINT] ELSE front END
+ FROM (SELECT *, list_min(list_transform(way, lambda k: c[k + 1])) AS least_c
+ FROM (SELECT *, list_filter(range(625), lambda k: hit AND k % 25 <> 0 AND par[k % 25 + 1] = k // 25 AND list_contains(up, k % 25)) AS way
+ FROM (SELECT *, par[14] >= 0 AS hit, CASE WHEN par[14] >= 0 THEN list_reduce(list_concat([[13::BIGINT]], list_transform(range(24), lambda i: [i])), lambda a, x: list_append(a, par[a[-1] + 1])) ELSE [] END AS up
+ FROM (SELECT n, c, list_transform(range(25), lambda j: CASE WHEN par[j + 1] >= 0 THEN par[j + 1] ELSE coalesce(list_filter(front, lambda i: c[i * 25 + j + 1] > 1e-9)[1], -1) END) AS par,
+   list_filter(range(25), lambda j: par[j + 1] < 0 AND len(list_filter(front, lambda i: c[i * 25 + j + 1] > 1e-9)) > 0) AS front FROM r WHERE len(front) > 0))))),
+side AS (SELECT arg_max(par, n) AS par FROM r), cut AS (SELECT e.s AS src, e.t AS dst, e.w FROM e, side WHERE par[e.s + 1] >= 0 AND par[e.t + 1] < 0)
+"""
+
+
+@query(_CUT_SQL + "SELECT src, dst, round(w, 2) AS w FROM cut")
 def min_cut(spark, sf):
     return analysis.min_cut(kept(derive.nation_trade(spark, sf)), 0, 13).select("src", "dst", F.round("w", 2).alias("w"))
 
 
+@query(_CUT_SQL + "SELECT coalesce(round(sum(w), 2), 0.0) AS value, 0::BIGINT AS over_capacity, 0::BIGINT AS unbalanced, coalesce(round(sum(w), 2), 0.0) AS arrives FROM cut")
+def flow_certificate(spark, sf):
+    """That the flow is one and is greatest: no arc above its capacity, no node keeps anything, and as much arrives as the least cut lets through."""
+    g = kept(derive.nation_trade(spark, sf))
+    value, residual = analysis.max_flow(g, 0, 13)
+    own = g.edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    sent = residual.join(own, ["src", "dst"], "left").select("src", "dst", "c", (F.coalesce("w", F.lit(0.0)) - F.col("c")).alias("f")).where("src <> dst")
+    # the two arcs of a pair hold the same flow with opposite signs, so out-sums are net
+    net = sent.groupBy("src").agg(F.sum("f").alias("net"))
+    checks = net.agg(
+        F.count(F.when(~F.col("src").isin(0, 13) & (F.abs("net") > 1e-4), 1)).alias("unbalanced"),
+        F.coalesce(F.round(F.sum(F.when(F.col("src") == 13, -F.col("net"))), 2), F.lit(0.0)).alias("arrives"),
+    )
+    over = sent.agg(F.count(F.when(F.col("c") < -1e-6, 1)).alias("over_capacity"))
+    return over.crossJoin(checks).select(F.lit(round(value, 2)).alias("value"), "over_capacity", "unbalanced", "arrives")  # one row each
+
+
 # ---- geometry
 
 
