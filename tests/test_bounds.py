@@ -3,7 +3,7 @@
 import pytest
 
 from tests.test_graph import graph, rows
-from waygraph.operators import paths
+from waygraph.operators import index, paths
 
 
 @pytest.fixture
@@ -25,3 +25,10 @@ def near(spark):
 def test_fewest_hops_end_at_their_targets(spark, rounds):
     assert rows(paths.fewest_hops(chain(spark), near(spark)), "qid", "cost") == [(0, 2.0), (1, 2.0), (2, 0.0)]
     assert len(rounds) <= 4
+
+
+def test_climbs_end_at_their_meeting(spark, rounds):
+    """Without any contracted node the core is the whole chain."""
+    found = index.Contraction.build(chain(spark), max_rounds=0).pair_costs(near(spark))
+    assert rows(found, "qid", "cost") == [(0, 2.0), (1, 2.0), (2, 0.0)]
+    assert len(rounds) <= 5
