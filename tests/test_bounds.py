@@ -32,3 +32,9 @@ def test_climbs_end_at_their_meeting(spark, rounds):
     found = index.Contraction.build(chain(spark), max_rounds=0).pair_costs(near(spark))
     assert rows(found, "qid", "cost") == [(0, 2.0), (1, 2.0), (2, 0.0)]
     assert len(rounds) <= 5
+
+
+def test_climbing_paths_end_at_their_meeting(spark, rounds):
+    found = index.Contraction.build(chain(spark), max_rounds=0).pair_paths(near(spark))
+    assert rows(found, "qid", "k", "id") == [(0, 0, 1), (0, 1, 2), (0, 2, 3), (1, 0, 4), (1, 1, 3), (1, 2, 2), (2, 0, 5)]
+    assert len(rounds) <= 5
