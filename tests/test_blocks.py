@@ -28,3 +28,9 @@ def test_blocks_agree_with_the_loop(spark):
     for most in (None, 4.0):
         plain = rows(paths.costs(Graph(nodes, g.edges), asked, max_cost=most), "qid", "id", "cost")
         assert rows(block_costs(nodes, paths.cheapest(g), asked, most, size=12), "qid", "id", "cost") == plain
+
+
+def test_cut_off_costs_of_a_placed_chain_take_no_round_an_arc(spark, rounds):  # noqa: F811
+    g = graph(spark, [(k, k + 1, 2) for k in range(90)], places={k: (float(k), 0.0) for k in range(91)}, space="planar")
+    assert rows(paths.costs(g, sources(spark, 0), max_cost=100.0), "id", "cost") == [(k, 2.0 * k) for k in range(51)]
+    assert not rounds
