@@ -34,3 +34,13 @@ def test_cut_off_costs_of_a_placed_chain_take_no_round_an_arc(spark, rounds):  #
     g = graph(spark, [(k, k + 1, 2) for k in range(90)], places={k: (float(k), 0.0) for k in range(91)}, space="planar")
     assert rows(paths.costs(g, sources(spark, 0), max_cost=100.0), "id", "cost") == [(k, 2.0 * k) for k in range(51)]
     assert not rounds
+
+
+def test_hull_of_a_cut_off_search_of_a_placed_grid(spark, rounds):  # noqa: F811
+    from waygraph.operators import spatial
+
+    at = {9 * i + j: (float(i), float(j)) for i in range(9) for j in range(9)}
+    g = graph(spark, [(k, k + 9, 1) for k in range(72)] + [(k, k + 1, 1) for k in range(81) if k % 9 < 8], places=at, space="planar")
+    reached = spatial.isochrone(paths.costs(g, sources(spark, 0), max_cost=6.0).drop("qid"), [6.0])
+    assert rows(spatial.convex_hull(reached.join(g.nodes, "id").select("cutoff", "id", "x", "y"), "cutoff"), "id") == [(0,), (6,), (54,)]
+    assert not rounds
