@@ -1,9 +1,11 @@
 """Searches whose targets are near end near them, however large the graph is."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_graph import graph, rows
-from waygraph.operators import index, paths
+from waygraph.operators import index, paths, timedep
+from waygraph.tables import Graph
 
 
 @pytest.fixture
@@ -38,3 +40,11 @@ def test_climbing_paths_end_at_their_meeting(spark, rounds):
     found = index.Contraction.build(chain(spark), max_rounds=0).pair_paths(near(spark))
     assert rows(found, "qid", "k", "id") == [(0, 0, 1), (0, 1, 2), (0, 2, 3), (1, 0, 4), (1, 1, 3), (1, 2, 2), (2, 0, 5)]
     assert len(rounds) <= 5
+
+
+def test_timed_search_ends_at_its_target(spark, rounds):
+    g = graph(spark, [(k, k + 1, 10) for k in range(90)])
+    g = Graph(g.nodes, g.edges.withColumn("tier", F.lit(1)))
+    found = timedep.scan_departures(g, 3, 5, samples=2)
+    assert found.where("duration IS NOT NULL").count() == 2
+    assert len(rounds) <= 6

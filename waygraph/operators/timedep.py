@@ -55,12 +55,20 @@ def arrival(w: Column, tier: Column, seconds: Column, speed: float = SPEED) -> C
     return F.greatest(seconds + travel_time(w, tier, seconds, speed), before + travel_time(w, tier, before, speed))
 
 
-def earliest_arrivals(graph: Graph, starts: DataFrame, speed: float = SPEED, max_rounds: int = 10_000) -> DataFrame:
-    """(dep, id, arrival) for starts(dep, id), in seconds: all departures in one loop. graph.edges has eid or gets none twice."""
+def earliest_arrivals(graph: Graph, starts: DataFrame, speed: float = SPEED, max_rounds: int = 10_000, target: int | None = None) -> DataFrame:
+    """(dep, id, arrival) for starts(dep, id), in seconds: all departures in one loop. graph.edges has eid or gets none twice.
+
+    With a target only its arrival is sure to be the earliest: labels that are not before the best known there go no further.
+    """
+
+    def bound(front: DataFrame, state: DataFrame) -> DataFrame:
+        best = state.where(F.col("id") == target).select("dep", F.col("d").alias("best"))
+        return front.join(best, "dep", "left").where(F.col("best").isNull() | (F.col("d") < F.col("best"))).select("dep", "id", "d")
+
     edges = graph.edges if "tier" in graph.edges.columns else congestion_tiers(graph.edges, SEED)
     labels, _ = _loop(
         edges.select("src", "dst", "w", "tier"), starts.select("dep", "id", F.col("dep").alias("d")),
-        arrival(F.col("w"), F.col("tier"), F.col("d"), speed), max_rounds, keys=("dep", "id"),
+        arrival(F.col("w"), F.col("tier"), F.col("d"), speed), max_rounds, None if target is None else bound, keys=("dep", "id"),
     )
     return labels.select("dep", "id", F.col("d").alias("arrival"))
 
@@ -79,7 +87,7 @@ def scan_departures(graph: Graph, source: int, target: int, samples: int = 24, s
     """Durations (dep, duration, best, worst) of evenly spaced departures over a day; first wins ties."""
     n = max(2, samples)
     deps = graph.nodes.sparkSession.range(n).select((F.col("id") * (DAY / n)).alias("dep"), F.lit(source).cast("long").alias("id"))
-    found = earliest_arrivals(graph, deps, speed).where(F.col("id") == target).select("dep", (F.col("arrival") - F.col("dep")).alias("duration"))
+    found = earliest_arrivals(graph, deps, speed, target=target).where(F.col("id") == target).select("dep", (F.col("arrival") - F.col("dep")).alias("duration"))
     out = deps.select("dep").join(found, "dep", "left")
     ends = out.agg(F.min_by("dep", F.struct("duration", "dep")).alias("b"), F.max_by("dep", F.struct("duration", -F.col("dep"))).alias("m"))
     return out.crossJoin(ends).select("dep", "duration", (F.col("dep") == F.col("b")).alias("best"), (F.col("dep") == F.col("m")).alias("worst"))
