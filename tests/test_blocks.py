@@ -44,3 +44,15 @@ def test_hull_of_a_cut_off_search_of_a_placed_grid(spark, rounds):  # noqa: F811
     reached = spatial.isochrone(paths.costs(g, sources(spark, 0), max_cost=6.0).drop("qid"), [6.0])
     assert rows(spatial.convex_hull(reached.join(g.nodes, "id").select("cutoff", "id", "x", "y"), "cutoff"), "id") == [(0,), (6,), (54,)]
     assert not rounds
+
+
+def test_betweenness_searches_no_further_than_blocks(spark, monkeypatch):
+    """Triangles in a row: searches between all nodes would be 21 * 21 labels, within triangles 10 * 9."""
+    from waygraph.operators import analysis
+
+    arcs = [(2 * k, 2 * k + s, 1) for k in range(10) for s in (1, 2)] + [(2 * k + 1, 2 * k + 2, 1) for k in range(10)]
+    seen, write = [], analysis.materialise
+    monkeypatch.setattr(analysis, "materialise", lambda df, name="step": seen.append((name, write(df, name))) or seen[-1][1])
+    found = dict(rows(analysis.betweenness(graph(spark, arcs)), "id", "score"))
+    assert found == {k: 0.0 if k % 2 or k in (0, 20) else 2.0 * k * (20 - k) for k in range(21)}
+    assert next(df for name, df in seen if name == "costs").count() == 90
