@@ -693,3 +693,34 @@ def test_stages_of_odd_documents(spark):
     assert gone == Counter([(50, rows[0][1]), (51, rows[1][1] + " more"), rows[5][:2], (None, None)])
     left = kept["line dedup"]
     assert sum(left.values()) == len(rows) - 2 and (60, None) in left and (61, "") in left  # 50 and 51 lose their only line
+
+
+def test_lines_of_a_loose_group_make_few_links(spark, monkeypatch):
+    """All lines of a bucket link with each other and none with its centre: their links name each label once a block, not each pair."""
+    from waygraph.llm import line_dedup
+
+    base = "the quick brown fox jumps over the lazy dog and runs back into the dark forest before the night falls "
+    texts = [(k, f"{base}{k:03d}") for k in range(200)] + [(900, "nothing of this line is like any of the other ones, whatever its end")]
+    made = []
+
+    def watched(members, verify, across, rounds=1):
+        nodes = [r[0] for r in members.select("node").distinct().collect()]
+        verify(spark.createDataFrame([(min(nodes), n) for n in nodes], "a long, b long"))  # names the texts
+        inside = spark.createDataFrame([(1, n, n) for n in nodes], "key long, node long, label long")
+        for last in (False, True):
+            links = across(inside, last).select("a", "b").collect()
+            root = {n: n for n in nodes}
+
+            def top(n):
+                return n if root[n] == n else top(root[n])
+
+            for a, b in links:
+                root[top(a)] = top(b)
+            made.append((len(links), len({top(n) for n in nodes})))
+        return spark.createDataFrame([], "id long, component long")
+
+    monkeypatch.setattr(line_dedup, "bucket_components", watched)
+    line_dedup.duplicate_lines(spark.createDataFrame(texts, "doc_id long, text string"))
+    (few, _), (all_, classes) = made
+    assert classes == 2  # the group, and the line that is like none
+    assert few < 201 and all_ < 201 * 8  # 19,900 pairs
