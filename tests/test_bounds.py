@@ -48,3 +48,19 @@ def test_timed_search_ends_at_its_target(spark, rounds):
     found = timedep.scan_departures(g, 3, 5, samples=2)
     assert found.where("duration IS NOT NULL").count() == 2
     assert len(rounds) <= 6
+
+
+def test_two_sided_searches_deal_their_edges_once(spark, monkeypatch):
+    import re
+
+    plans, write = [], paths.materialise
+    monkeypatch.setattr(paths, "materialise", lambda df, name="step": plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = graph(spark, [(0, 1, 2), (1, 2, 2), (2, 3, 2)])
+        pairs = spark.createDataFrame([(0, 0, 3)], "qid int, src long, dst long")
+        assert [tuple(r) for r in paths.bidirectional_costs(g, pairs).collect()] == [(0, 6.0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) > 2  # the first round plans before the edges lie dealt
+    assert not [p for p in plans[2:] if re.search(r"hashpartitioning\(src#\d+L, edge_side#\d+, \d+\), ENSURE_REQUIREMENTS", p)]
