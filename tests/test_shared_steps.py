@@ -14,6 +14,17 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(derive, "DEALT", 100)
+    graph = derive.supplier_part(spark, SF)
+    rows = derive.table(spark, SF, "lineitem")
+    assert graph.edges.rdd.getNumPartitions() > rows.count() // 100
+    want = {(r[0] + 10_000_000, r[1]): r[2] for r in rows.groupBy("l_suppkey", "l_partkey").agg(F.min("l_quantity")).collect()}
+    got = {(r["src"], r["dst"]): r["w"] for r in graph.edges.collect()}
+    assert got == want | {(b, a): w for (a, b), w in want.items()}
+    assert {r["id"] for r in graph.nodes.collect()} == {x for p in want for x in p}
+
+
 def test_lattice_is_dealt_before_its_arcs_are_grouped(spark):
     arcs = derive.part_lattice(spark, SF).edges
     text = arcs._jdf.queryExecution().executedPlan().toString()
