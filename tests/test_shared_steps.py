@@ -25,6 +25,11 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert {r["id"] for r in graph.nodes.collect()} == {x for p in want for x in p}
 
 
+def test_trade_is_joined_once(spark):
+    graph = derive.nation_trade(spark, SF)
+    assert "Join" not in plan(graph.edges) and "Join" not in plan(graph.nodes)
+
+
 def test_lattice_is_dealt_before_its_arcs_are_grouped(spark):
     arcs = derive.part_lattice(spark, SF).edges
     text = arcs._jdf.queryExecution().executedPlan().toString()
