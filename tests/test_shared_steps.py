@@ -14,6 +14,16 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_hops_do_not_group_the_edges(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2, 1.0), (1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (1, 3, 4.0)], "src long, dst long, w double")
+    graph, seen, loop = Graph(edges.selectExpr("src AS id").distinct(), edges), [], paths._loop
+    monkeypatch.setattr(paths, "_loop", lambda e, *a, **b: (seen.append(plan(e)), loop(e, *a, **b))[1])
+    events = trace.bfs_trace(graph, spark.createDataFrame([(0, 1)], "qid int, id long"))
+    got = {tuple(r) for r in events.select("step", "op", "node", "parent").collect()}
+    assert got == {(0, 0, 1, None), (1, 1, 1, None), (1, 0, 2, 1), (2, 1, 2, 1), (1, 0, 3, 1), (2, 1, 3, 1)}
+    assert "Aggregate" not in seen[0] and "Aggregate" not in plan(events)
+
+
 def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(derive, "DEALT", 100)
     graph = derive.supplier_part(spark, SF)

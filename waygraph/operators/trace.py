@@ -15,8 +15,9 @@ DISCOVER, EXPAND, RELAX = 0, 1, 2
 def bfs_trace(graph: Graph, sources: DataFrame) -> DataFrame:
     """Events (qid, step, op, node, parent): a node is discovered in the step of its hop count and expanded in the next."""
     h = hops(graph, sources)
-    up = h.select("qid", F.col("id").alias("src"), "hops").join(graph.edges.select("src", "dst").distinct(), "src").select("qid", "src", F.col("dst").alias("id"), (F.col("hops") + 1).alias("hops"))
-    found = h.join(up, ["qid", "id", "hops"], "left").groupBy("qid", "id", "hops").agg(F.min("src").alias("parent"))
+    up = h.select("qid", F.col("id").alias("src"), "hops").join(graph.edges.select("src", "dst"), "src").select("qid", "src", F.col("dst").alias("id"), (F.col("hops") + 1).alias("hops"))
+    up = up.groupBy("qid", "id", "hops").agg(F.min("src").alias("parent"))
+    found = materialise(h.join(up, ["qid", "id", "hops"], "left"), "found")
     discover = found.select("qid", F.col("hops").alias("step"), F.lit(DISCOVER).alias("op"), F.col("id").alias("node"), "parent")
     expand = found.select("qid", (F.col("hops") + 1).alias("step"), F.lit(EXPAND).alias("op"), F.col("id").alias("node"), "parent")
     return discover.unionAll(expand)
