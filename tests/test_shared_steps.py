@@ -14,6 +14,21 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("w", ["CAST(id * id % 7 AS double)", "2.0D", "CAST(id * 7919 % 1003 AS double)", "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN double('NaN') ELSE id % 4 END"])
+@pytest.mark.parametrize("many", [0, 1, 3, 4, 203])
+def test_tiers_without_an_order_of_all_edges(spark, w, many):
+    edges = spark.range(many).selectExpr("id * 7 AS eid", f"{w} AS w")
+    found = timedep.congestion_tiers(edges)
+    assert "Window" not in plan(found)
+    rows = edges.collect()
+    key = lambda r: (r["w"] is not None, r["w"] != r["w"], r["w"] if r["w"] is not None and r["w"] == r["w"] else 0, r["eid"])
+    want = {}
+    for k, r in enumerate(sorted(rows, key=key)):
+        jitter = ((r["eid"] % 2147483647) * 1103515245 + timedep.SEED) // 65536 % 3 - 1
+        want[r["eid"]] = max(0, min(4, k * 5 // many + jitter))
+    assert {r["eid"]: r["tier"] for r in found.collect()} == want
+
+
 def test_hops_do_not_group_the_edges(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2, 1.0), (1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (1, 3, 4.0)], "src long, dst long, w double")
     graph, seen, loop = Graph(edges.selectExpr("src AS id").distinct(), edges), [], paths._loop

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waygraph.functions.order import running_total
+from waygraph.loop import materialise
 from waygraph.operators.paths import _loop
 from waygraph.tables import Graph
 
@@ -20,13 +21,33 @@ DAY, GUARD = 86_400.0, 60.0
 
 
 def congestion_tiers(edges: DataFrame, seed: int = SEED) -> DataFrame:
-    """Adds to edges(eid, w) the tier 0 to 4: the share of longer roads, moved by -1, 0 or 1 by a linear congruence on the id."""
-    many = edges.agg(F.count("*").alias("m"))
-    ordered = running_total(edges.withColumn("_order", F.struct("w", "eid")), "_order", F.lit(1).cast("long"), "rank")
+    """Adds to edges(eid, w) the tier 0 to 4: the share of longer roads, moved by -1, 0 or 1 by a linear congruence on the id.
+
+    The order is by (w, eid), which are distinct; only the rows at which a fifth begins are looked for, exactly, so edges are not sorted.
+    """
     jitter = F.expr(f"(((eid % 2147483647) * 1103515245 + {seed}) div 65536) % 3 - 1")
-    ranked = ordered.crossJoin(F.broadcast(many))  # one row
-    tier = F.greatest(F.lit(0), F.least(F.lit(TIERS - 1), F.floor(F.col("rank") * TIERS / F.col("m")) + jitter))
-    return ranked.withColumn("tier", tier.cast("int")).drop("_order", "m", "rank")
+    fifth = sum((F.coalesce(F.struct("w", "eid") >= F.get("_firsts", F.lit(k)), F.lit(False)).cast("int") for k in range(TIERS - 1)), F.lit(0))
+    tier = F.greatest(F.lit(0), F.least(F.lit(TIERS - 1), fifth + jitter))
+    return edges.crossJoin(F.broadcast(_fifths(edges))).withColumn("tier", tier.cast("int")).drop("_firsts")  # one row
+
+
+def _fifths(edges: DataFrame) -> DataFrame:
+    """One row (_firsts): the (w, eid) at which the second and later of TIERS equal shares of edges(eid, w) begin.
+
+    Weights are counted first; only edges of the weights at which a share begins are put in order by eid.
+    """
+    sizes = materialise(edges.groupBy("w").agg(F.count("*").alias("n")), "weights")
+    share = F.explode(F.array(*map(F.lit, range(1, TIERS)))).alias("share")
+    begins = sizes.agg(F.sum("n").alias("m")).select(share, "m").select(F.ceil(F.col("m") * F.col("share") / TIERS).alias("begins"))
+    at = running_total(sizes, "w", F.col("n"), "before").join(F.broadcast(begins), (F.col("before") <= F.col("begins")) & (F.col("begins") < F.col("before") + F.col("n")))
+    at = materialise(at.select(F.col("w").alias("at"), "begins", "before"), "fifths")  # TIERS - 1 rows at most
+    of = edges.select("w", "eid").join(F.broadcast(at.groupBy("at").agg(F.min("before").alias("before"))), F.col("w").eqNullSafe(F.col("at")))
+    ranked = running_total(of.withColumn("_order", F.struct("w", "eid")), "_order", F.lit(1).cast("long"), "k")
+    # what lies before a row: all of lesser weights, its own weight's by eid; k counts those of the lesser weights in `at` too
+    start = ranked.groupBy("at").agg(F.min("k").alias("start")).withColumnRenamed("at", "own")
+    ranked = ranked.join(F.broadcast(start), F.col("at").eqNullSafe(F.col("own"))).select("w", "eid", (F.col("before") + F.col("k") - F.col("start")).alias("rank"))
+    firsts = ranked.join(F.broadcast(at.select("begins")), F.col("rank") == F.col("begins"))
+    return materialise(firsts.agg(F.sort_array(F.collect_list(F.struct("w", "eid"))).alias("_firsts")), "firsts")
 
 
 def multiplier(tier: Column, seconds: Column) -> Column:
