@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from waygraph.operators import paths, timedep, trace
+from waygraph.operators import etl, paths, timedep, trace
 from waygraph.plans import derive
 from waygraph.tables import Graph
 
@@ -68,3 +68,13 @@ def test_path_costs_never_broadcast_the_graph(spark):
     assert "SortMergeJoin [src" in text and "Broadcast" not in text.split("SortMergeJoin [src")[1]
     size = {r[0]: float(r[1]) for r in derive.table(spark, SF, "part").select("p_partkey", "p_size").collect()}
     assert {r["qid"]: r["cost"] for r in found.collect()} == {0: size[0] + size[1], 1: 0.0, 2: None}
+
+
+@pytest.mark.parametrize("bucket", [2, 10_000])
+def test_platforms_are_clustered_by_buckets_of_groups(spark, monkeypatch, bucket):
+    monkeypatch.setattr(etl, "BUCKET", bucket)
+    # along a meridian, some 111 metres a step; of a group's platforms the first that is left heads a cluster
+    rows = [(k, name, city, 13 + 0.001 * step, 77.0) for k, (name, city, step) in enumerate([
+        ("A", "x", 0), ("a.", "x", 3), ("A", "x", 5), ("A", "x", 8), ("A", "y", 0), (None, "x", 0), (None, "x", 1), (None, None, 0), (None, None, 2), ("A", None, 0), ("B", "x", 0), ("A", "x", 4)])]
+    found = etl.merge_platforms(spark.createDataFrame([*rows, (12, "A", "x", None, 77.0)], "id long, name string, city string, lat double, lon double"))
+    assert {r["id"]: r["canonical"] for r in found.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9, 10: 10, 11: 2, 12: 12}

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from waygraph.functions.geo import EARTH_RADIUS, haversine
 from waygraph.functions.order import running_total
 
+#: Platforms of a bucket, about: what one call clusters at once.
+BUCKET = 20_000
+
 
 def junctions(ways: DataFrame) -> DataFrame:
     """(id) of nodes that end a way or are used more than once, in one way or several; ways(way_id, nodes array)."""
@@ -84,21 +87,25 @@ def merge_platforms(stations: DataFrame, metres: float = 400.0) -> DataFrame:
     """
     import numpy as np
 
-    def clusters(pdf):
-        pdf = pdf.sort_values("id")
+    def clusters(pdf):  # all groups of a bucket at once
+        group = pdf.groupby(["city", "name"], dropna=False).ngroup().to_numpy()
+        order = np.lexsort((pdf["id"].to_numpy(), group))
+        pdf, group = pdf.iloc[order], group[order]
         ids, lat, lon = pdf["id"].to_numpy(), np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
         out = np.zeros(len(ids), np.int64)
         left = np.arange(len(ids))
-        while len(left):  # the first that is left is a head, and takes what is near
-            h = left[0]
+        while len(left):  # the first that is left of a group is a head, and takes what is near
+            first = np.r_[True, group[left][1:] != group[left][:-1]]
+            h = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
             x = np.sin((lat[left] - lat[h]) / 2) ** 2 + np.cos(lat[h]) * np.cos(lat[left]) * np.sin((lon[left] - lon[h]) / 2) ** 2
-            near = 2 * EARTH_RADIUS * np.arcsin(np.sqrt(np.minimum(1.0, x))) <= metres
-            near[0] = True
-            out[left[near]] = ids[h]
+            near = first | (2 * EARTH_RADIUS * np.arcsin(np.sqrt(np.minimum(1.0, x))) <= metres)
+            out[left[near]] = ids[h[near]]
             left = left[~near]
         return pdf.assign(canonical=out)[["id", "canonical", "lat", "lon"]]
 
     named = stations.select("id", "lat", "lon", "city", normal_name(F.col("name")).alias("name"))
-    found = named.groupBy("city", "name").applyInPandas(clusters, "id long, canonical long, lat double, lon double")
+    # a call for each bucket of groups, as a call costs more than a group of few platforms
+    bucket = F.pmod(F.xxhash64("city", "name"), F.lit(stations.count() // BUCKET + 1))
+    found = named.groupBy(bucket.alias("bucket")).applyInPandas(clusters, "id long, canonical long, lat double, lon double")
     of = found.groupBy("canonical").agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
     return found.join(of, "canonical").select("id", "canonical", F.col("clat").alias("lat"), F.col("clon").alias("lon"))
