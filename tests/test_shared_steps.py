@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from waygraph.operators import etl, paths, timedep, trace
+from waygraph.operators import etl, paths, timedep, trace, transit
 from waygraph.plans import derive
 from waygraph.tables import Graph
 
@@ -78,3 +78,17 @@ def test_platforms_are_clustered_by_buckets_of_groups(spark, monkeypatch, bucket
         ("A", "x", 0), ("a.", "x", 3), ("A", "x", 5), ("A", "x", 8), ("A", "y", 0), (None, "x", 0), (None, "x", 1), (None, None, 0), (None, None, 2), ("A", None, 0), ("B", "x", 0), ("A", "x", 4)])]
     found = etl.merge_platforms(spark.createDataFrame([*rows, (12, "A", "x", None, 77.0)], "id long, name string, city string, lat double, lon double"))
     assert {r["id"]: r["canonical"] for r in found.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9, 10: 10, 11: 2, 12: 12}
+
+
+def test_stations_at_one_place_are_looked_up_once(spark, monkeypatch):
+    many, write = [], transit.materialise
+    monkeypatch.setattr(transit, "materialise", lambda df, name="step": (lambda t: (name == "near" and many.append(t.count()), t)[1])(write(df, name)))
+    nodes = spark.createDataFrame([(k, 77.0 + 0.0001 * k, 13.0) for k in range(6)] + [(9, 78.0, 13.0)], "id long, x double, y double")
+    road = Graph(nodes, spark.createDataFrame([], "src long, dst long, w double"), "geographic")
+    rows = [(k, "s", "y", "c", 13.0, 77.0) for k in range(50)] + [(50, "s", "y", "c", 13.0, 78.2), (51, "s", "y", "c", 13.0, 78.2), (52, "s", "y", "c", None, 77.0)]
+    links = spark.createDataFrame([], "from long, to long, line string, seconds double")
+    both = transit.combine(road, spark.createDataFrame(rows, "id long, name string, system string, city string, lat double, lon double"), links)
+    got = {(r["dst"] - transit.STATION_BASE, r["src"]) for r in both.edges.where(F.col("dst") >= transit.STATION_BASE).collect()}
+    back = {(r["src"] - transit.STATION_BASE, r["dst"]) for r in both.edges.where(F.col("src") >= transit.STATION_BASE).collect()}
+    assert got == back == {(k, n) for k in range(50) for n in range(4)} | {(50, 9), (51, 9)}
+    assert many == [6]

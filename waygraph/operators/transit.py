@@ -79,7 +79,8 @@ def combine(
     if road.space != "geographic":
         raise ValueError("roads and stations are combined on geographic coordinates only")
     rail = rail_only(stations, links)
-    q = rail.nodes.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    stands = rail.nodes.select(F.col("id").alias("station"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    q = stands.groupBy("qx", "qy").agg(F.min("station").alias("qid"))  # stations at one place walk to the same nodes
     near = within(q, road.nodes, radius, "geographic").select("qid", "id")
     near = materialise(near, "near")
     alone = q.join(near.select("qid").distinct(), "qid", "left_anti")
@@ -88,8 +89,9 @@ def combine(
     met = met.withColumn("m", equirectangular(F.col("qy"), F.col("qx"), F.col("y"), F.col("x")))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("m", "id"))
     met = met.withColumn("r", rank).where(F.when(F.col("alone"), F.col("r") == 1).otherwise(F.col("r") <= TRANSFERS))
-    walks = met.select(F.col("id").alias("src"), F.col("qid").alias("dst"), (F.col("m") / walk + board).alias("w")).unionAll(
-        met.select(F.col("qid").alias("src"), F.col("id").alias("dst"), (F.col("m") / walk).alias("w"))
+    met = met.join(stands, ["qx", "qy"])
+    walks = met.select(F.col("id").alias("src"), F.col("station").alias("dst"), (F.col("m") / walk + board).alias("w")).unionAll(
+        met.select(F.col("station").alias("src"), F.col("id").alias("dst"), (F.col("m") / walk).alias("w"))
     )
     edges = road.edges.select("src", "dst", (F.col("w") / drive).alias("w")).unionAll(rail.edges).unionAll(walks)
     nodes = road.nodes.select("id", "x", "y").unionAll(rail.nodes)
