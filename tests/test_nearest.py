@@ -52,3 +52,21 @@ def test_an_outlier_gets_a_cell_of_its_own(spark):
         assert k_nearest(p.toDF("qid", "qx", "qy"), p, 1, skip_self=True).count() == n + 1
         took.append(time.time() - began)
     assert took[1] < 6 * took[0] + 5  # eight times the points; all pairs would be 64 times the work
+
+
+def test_queries_at_one_place_are_looked_for_once(spark, monkeypatch):
+    from waygraph.operators import nearest
+
+    rng, tables = random.Random(5), {}
+    places = [(rng.random(), rng.random()) for _ in range(40)]
+    points = [(i, *places[i % 40]) for i in range(2_000)]
+
+    def recorded(df, name="step"):
+        tables[name] = materialise(df, name)
+        return tables[name]
+
+    materialise = nearest.materialise
+    monkeypatch.setattr(nearest, "materialise", recorded)
+    got = k_nearest(spark.createDataFrame(points, QUERY), spark.createDataFrame(points, POINT), 4, True, leaf=8)
+    assert {(r["qid"], r["id"], round(r["dist"], 9)) for r in got.collect()} == brute(points, points, 4, True)
+    assert tables["reached"].count() <= 40 * 16  # a row for each place and cell, not for each query

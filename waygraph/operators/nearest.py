@@ -20,6 +20,8 @@ from waygraph.loop import materialise, release
 LEAF = 128
 #: Levels at most; each takes a sixteenth of the points.
 LEVELS = 15
+#: Places of cells that a task holds against its queries: their number isn't seen from the bytes of the queries.
+HELD = 500_000
 
 
 def _strip(of: str, cuts: str) -> Column:
@@ -68,8 +70,12 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int = 1, skip_self: bool
 
     Exact: cells are left out by their boxes only. Of points at one place only
     the k smallest ids (one more with skip_self) can count, so a hot place costs
-    no more than any other. Points and queries without a place are left out.
+    no more than any other, and queries at one place are looked for once.
+    Points and queries without a place are left out.
     """
+    asked = materialise(queries.select("qid", "qx", "qy").where("qx IS NOT NULL AND qy IS NOT NULL"), "asked")
+    # -0.0 is 0.0, as a grouping takes them; a place is named by one of its queries
+    spots = materialise(asked.groupBy("qx", "qy").agg(F.min("qid").alias("spot")), "spots")
     need = k + int(skip_self)
     here = Window.partitionBy("x", "y").orderBy("id")
     p = points.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
@@ -77,7 +83,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int = 1, skip_self: bool
     places = materialise(p.groupBy("x", "y").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "x", "y", "ids"), "places")
     leaves, boxes, deepest = kd_cells(places, max(leaf, 4 * need))
     boxes = materialise(boxes, "boxes")
-    front = materialise(queries.select("qid", "qx", "qy", F.lit(0).cast("long").alias("up"), F.lit(float("inf")).alias("bound")).where("qx IS NOT NULL AND qy IS NOT NULL"), "front")
+    front = spots.select(F.col("spot").alias("qid"), "qx", "qy", F.lit(0).cast("long").alias("up"), F.lit(float("inf")).alias("bound"))
     slack = 1 + 1e-12  # a box's distance may be rounded up
     reached = None
     for level in range(deepest + 1):
@@ -99,14 +105,22 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int = 1, skip_self: bool
     leaves = leaves.join(places.select("id", "ids"), "id")
     order = Window.partitionBy("qid").orderBy("gap", "level", "cell")
     ranked = materialise(reached.withColumn("r", F.row_number().over(order)), "reached")
+    tasks = ranked.count() * max(leaf, 4 * need) // HELD + 1
 
     def look(at: DataFrame) -> DataFrame:
-        found = at.join(leaves, ["level", "cell"]).select("qid", euclidean(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")).alias("dist"), F.explode("ids").alias("id"))
-        return found.where("qid <> id") if skip_self else found
-
-    near = look(ranked.where("r = 1")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).drop("r")
-    near = materialise(near, "near")
-    known = near.groupBy("qid").agg(F.max("dist").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).select("qid", "kth")
+        met = at.repartition(tasks, "level", "cell").join(leaves, ["level", "cell"])
+        found = met.select("qid", euclidean(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")).alias("dist"), "id", "ids")
+        # each place has an id of its own, so no more places than ids are needed
+        found = found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= need).select("qid", "dist", F.explode("ids").alias("id"))
+        return found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= need).drop("r")
+
+    near = materialise(look(ranked.where("r = 1")), "near")
+    known = near.groupBy("qid").agg(F.max("dist").alias("kth"), F.count("*").alias("n")).where(F.col("n") == need).select("qid", "kth")
     rest = ranked.where("r > 1").join(known, "qid", "left").where(F.col("kth").isNull() | (F.col("gap") <= F.col("kth") * slack))
     both = near.unionByName(look(rest))
-    return both.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).select("qid", "id", "dist")
+    best = both.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= need).select(F.col("qid").alias("spot"), "dist", "id")
+    of = asked.join(spots, ["qx", "qy"]).select("qid", "spot")
+    found = of.join(best, "spot").select("qid", "id", "dist")
+    if not skip_self:
+        return found
+    return found.where("qid <> id").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).select("qid", "id", "dist")
