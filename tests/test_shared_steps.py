@@ -92,3 +92,28 @@ def test_stations_at_one_place_are_looked_up_once(spark, monkeypatch):
     back = {(r["src"] - transit.STATION_BASE, r["dst"]) for r in both.edges.where(F.col("src") >= transit.STATION_BASE).collect()}
     assert got == back == {(k, n) for k in range(50) for n in range(4)} | {(50, 9), (51, 9)}
     assert many == [6]
+
+
+def test_places_are_looked_up_before_the_rounds(spark, monkeypatch):
+    """However small the file of nodes is, it is not broadcast whole, and rounds don't read it."""
+    from waygraph.loop import materialise
+
+    g = derive.part_lattice(spark, SF)
+    g = Graph(materialise(g.nodes, "allnodes"), materialise(g.edges, "edges"), g.space)
+    pairs = spark.createDataFrame([(0, 0, 60), (1, 3, 3), (2, 5, -1), (3, -1, 5)], "qid int, src long, dst long")
+    rounds, loop, dealt = [], paths._loop, []
+    monkeypatch.setattr(paths, "_loop", lambda e, *a, **b: (dealt.append(e._jdf.queryExecution().executedPlan().toString()), loop(e, *a, **b))[1])
+    monkeypatch.setattr(paths, "materialise", lambda df, name="step": (name == "labels" and rounds.append(df.inputFiles()), materialise(df, name))[1])
+    got = {r["qid"]: r["cost"] for r in paths.pair_costs(g, pairs, goal_directed=True).collect()}
+    assert len(rounds) > 2 and not [f for files in rounds[1:] for f in files if "allnodes" in f]
+    assert "Broadcast" not in dealt[0]
+    assert got[1] == 0.0 and got[2] is None and got[3] is None
+    assert got == {r["qid"]: r["cost"] for r in paths.pair_costs(g, pairs).collect()}
+
+
+def test_goal_directed_labels_hold_where_weights_or_places_are_missing(spark):
+    nodes = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, None, None), (3, 3.0, 0.0)], "id long, x double, y double")
+    edges = spark.createDataFrame([(0, 1, None), (0, 1, 2.0), (0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (1, 7, 1.0), (7, 3, 5.0), (3, 9, None)], "src long, dst long, w double")
+    pairs = spark.createDataFrame([(0, 0, 3), (1, 0, 7), (2, 0, 9)], "qid int, src long, dst long")
+    found = paths.pair_costs(Graph(nodes, edges, "planar"), pairs, goal_directed=True, max_rounds=50)
+    assert {r["qid"]: r["cost"] for r in found.collect()} == {0: 3.0, 1: 2.0, 2: None}
