@@ -64,3 +64,13 @@ def test_two_sided_searches_deal_their_edges_once(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(plans) > 2  # the first round plans before the edges lie dealt
     assert not [p for p in plans[2:] if re.search(r"hashpartitioning\(src#\d+L, edge_side#\d+, \d+\), ENSURE_REQUIREMENTS", p)]
+
+
+def test_bellman_ford_settles_on_a_path_through_all_nodes(spark):
+    """Its last round may only confirm, whatever hops a round looks ahead; with a negative cycle it still doesn't settle."""
+    source = spark.createDataFrame([(0, 0)], "qid int, id long")
+    edges = spark.createDataFrame([(k, k + 1, -1.0) for k in range(6)], "src long, dst long, w double")
+    found, settled = paths.bellman_ford(Graph(spark.range(7), edges), source)
+    assert settled and rows(found, "id", "cost") == [(k, -float(k)) for k in range(7)]
+    around = edges.unionAll(spark.createDataFrame([(6, 0, 5.0)], edges.schema))
+    assert not paths.bellman_ford(Graph(spark.range(7), around), source)[1]
